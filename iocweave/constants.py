@@ -55,12 +55,12 @@ TLP_LEVELS = {"red": "high", "amber": "medium", "green": "low", "white": "low"}
 CSV_TYPES = {"ip": IP, "domain": DOMAIN, "url": URL, "md5": MD5, "sha256": SHA256, "sha1": SHA1}
 
 # Address blocks refused for an indicator (IANA special-purpose registries), and the exceptions inside them.
-V4_REFUSED = [
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
-    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24",
-    "224.0.0.0/4", "240.0.0.0/4",
-]
-V4_REFUSED_EXCEPT = ["192.0.0.9/32", "192.0.0.10/32"]
+# IPv4, as a pattern on a valid dotted quad: 0/8, 10/8, 127/8, 169.254/16, 172.16/12, 192.0.0/24 without .9 and
+# .10, 192.0.2/24, 192.168/16, 198.18/15, 198.51.100/24, 203.0.113/24, 224/4 and 240/4.
+V4_REFUSED = (
+    r"(?:(?:0|10|127)\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.0\.0\.(?!(?:9|10)\z)|192\.0\.2\."
+    r"|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|(?:22[4-9]|23[0-9]|24[0-9]|25[0-5])\.)"
+)
 V6_REFUSED = [
     "::/8", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32",
     "2002::/16", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3",
@@ -70,11 +70,12 @@ V6_REFUSED_EXCEPT = [
     "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
 ]
 
-# Address blocks refused for a candidate found in an alert (a shorter list than the one above).
-V4_CANDIDATE_REFUSED = [
-    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16",
-    "224.0.0.0/4", "240.0.0.0/4", "0.0.0.0/32",
-]
+# Address blocks refused for a candidate found in an alert (a shorter list than the one above): 10/8, 172.16/12,
+# 192.168/16, 127/8, 169.254/16, 224/4, 240/4 and 0.0.0.0.
+V4_CANDIDATE_REFUSED = (
+    r"(?:(?:10|127)\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\."
+    r"|(?:22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|0\.0\.0\.0\z)"
+)
 CANDIDATE_REFUSED = ["0.0.0.0", "255.255.255.255", "localhost"]
 
 # Alert fields read by name, in order, and the flat-key prefixes always read.

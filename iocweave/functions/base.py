@@ -53,3 +53,24 @@ def seconds_between(end: Column, start: Column) -> Column:
     """Exact difference of two timestamps in seconds, as DOUBLE."""
     micros = F.timestamp_diff("MICROSECOND", start, end)
     return micros.cast("double") / F.lit(1e6)
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """Round the binary value of a DOUBLE, ties to even.
+
+    ``round`` works on the shortest decimal text, which turns 15.075 (binary 15.07499...) into 15.08. Here the
+    product with 10**digits is split into the rounded product and its exact error, which decides near a tie.
+    """
+    scale = float(10**digits)
+
+    def rounded(x: Column) -> Column:
+        spread = x * 134217729.0
+        high = spread - (spread - x)
+        product = x * scale
+        error = (high * scale - product) + (x - high) * scale
+        floor = F.floor(product).cast("double")
+        rest = (product - floor) - 0.5
+        up = (rest > 0) | ((rest == 0) & ((error > 0) | ((error == 0) & (floor % 2 == 1))))
+        return F.when(up, floor + 1.0).otherwise(floor) / scale
+
+    return let(value, rounded)

@@ -1,7 +1,7 @@
 """IP address tests and canonical text as native column expressions.
 
-An IPv4 address becomes a BIGINT; an IPv6 address becomes 32 lower-case hex digits, on which a network
-test is a string ``BETWEEN``. Nothing leaves the JVM.
+An IPv4 test is one regular expression on the text. An IPv6 address becomes 32 lower-case hex digits, on which a
+network test is a string ``BETWEEN``; that work runs only for text with a colon. Nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from iocweave import constants as K
 from iocweave.functions.base import let
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-IPV4_RE = rf"^(?:{_OCTET}\.){{3}}{_OCTET}\z"
-_DOTTED_RE = r"(?U)^(?:\d{1,3}\.){3}\d{1,3}\z"
-_V6_SHAPE_RE = r"^[0-9A-Fa-f:.]{2,45}\z"
+_QUAD = rf"(?:{_OCTET}\.){{3}}{_OCTET}\z"
+IPV4_RE = rf"^{_QUAD}"
+_PUBLIC_V4_RE = rf"^(?!{K.V4_REFUSED}){_QUAD}"
+_REFUSED_V4_RE = rf"^(?={K.V4_REFUSED}){_QUAD}"
+_REFUSED_CANDIDATE_RE = rf"^(?={K.V4_CANDIDATE_REFUSED}){_QUAD}"
+_V6_SHAPE_RE = r"^[0-9A-Fa-f:.]{2,45}(?:%[^%]+)?\z"
+_V6_EDGE_RE = r"^:(?!:)|(?<!:):\z|:::"
 _GROUP_RE = r"^[0-9a-f]{1,4}\z"
 
 
@@ -26,130 +30,107 @@ def is_ipv4(text: Column) -> Column:
     return text.rlike(IPV4_RE)
 
 
-def ipv4_to_long(text: Column) -> Column:
-    """Numeric value of a valid dotted quad, NULL otherwise."""
-    parts = F.split(text, r"\.")
-    octet = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
-    value = octet(0) * 16777216 + octet(1) * 65536 + octet(2) * 256 + octet(3)
-    return F.when(is_ipv4(text), value)
+def _quad_groups(quad: Column) -> Column:
+    """The two hex groups that a dotted quad stands for."""
 
+    def groups(o: Column) -> Column:
+        two = lambda i: F.hex(F.get(o, F.lit(i)).try_cast("bigint") * 256 + F.get(o, F.lit(i + 1)).try_cast("bigint"))
+        return F.lower(F.concat(two(0), F.lit(":"), two(2)))
 
-def _any_of(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _v4_in(number: Column, blocks: list[str]) -> Column:
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    return _any_of([number.between(int(n[0]), int(n[-1])) for n in nets])
-
-
-def _v6_in(hex32: Column, blocks: list[str]) -> Column:
-    nets = [ipaddress.ip_network(b) for b in blocks]
-    return _any_of([hex32.between(f"{int(n[0]):032x}", f"{int(n[-1]):032x}") for n in nets])
+    return let(F.split(quad, r"\."), groups)
 
 
 def ipv6_hex(text: Column) -> Column:
     """32 hex digits of a valid IPv6 address (zone id ignored), NULL otherwise."""
     addr = F.lower(F.substring_index(text, "%", 1))
-    zone_ok = ~text.contains("%") | text.rlike(r"^[^%]*%[^%]+\z")
-    tail = F.substring_index(addr, ":", -1)
-    quad = ipv4_to_long(tail)
-    # A dotted quad may stand for the last two groups.
-    as_groups = F.when(
-        tail.contains("."),
-        F.when(
-            quad.isNotNull(),
-            F.concat(
-                F.substring(addr, F.lit(1), F.length(addr) - F.length(tail)),
-                F.lower(F.hex(F.floor(quad / 65536).cast("bigint"))),
-                F.lit(":"),
-                F.lower(F.hex(quad % 65536)),
-            ),
-        ),
-    ).otherwise(addr)
-
-    def expand(a: Column) -> Column:
-        halves = F.split(a, "::")
-        part = lambda i: F.filter(F.split(F.get(halves, F.lit(i)), ":"), lambda g: g != "")
-        full = F.split(a, ":")
-        packed = F.concat(
-            part(0),
-            F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(part(0)) - F.size(part(1)))),
-            part(1),
-        )
-        groups = F.when(F.size(halves) == 1, full).when(
-            (F.size(halves) == 2) & (F.size(part(0)) + F.size(part(1)) <= 7), packed
-        )
-        bad_edge = a.rlike(r"^:(?!:)|(?<!:):\z|:::")
-        ok = (
-            groups.isNotNull()
-            & ~bad_edge
-            & (F.size(groups) == 8)
-            & F.forall(groups, lambda g: g.rlike(_GROUP_RE))
-        )
-        return F.when(ok, F.array_join(F.transform(groups, lambda g: F.lpad(g, 4, "0")), ""))
-
-    shaped = text.contains(":") & addr.rlike(_V6_SHAPE_RE) & zone_ok
-    return F.when(shaped, let(as_groups, expand))
 
+    def plain(a: Column) -> Column:
+        tail = F.substring_index(a, ":", -1)
+        head = F.substring(a, F.lit(1), F.length(a) - F.length(tail))
+        mixed = F.when(is_ipv4(tail), F.concat(head, _quad_groups(tail)))
+        return F.when(a.rlike(_V6_EDGE_RE), None).when(tail.contains("."), mixed).otherwise(a)
 
-def is_ipv6(text: Column) -> Column:
-    return F.coalesce(ipv6_hex(text).isNotNull(), F.lit(False))
+    def groups(a: Column) -> Column:
+        def halves(h: Column) -> Column:
+            def pack(p: Column) -> Column:
+                left, right = F.get(p, F.lit(0)), F.get(p, F.lit(1))
+                fill = F.array_repeat(F.lit("0"), 8 - F.size(left) - F.size(right))
+                return F.when(F.size(left) + F.size(right) <= 7, F.concat(left, fill, right))
 
+            parts = F.transform(h, lambda x: F.filter(F.split(x, ":"), lambda g: g != ""))
+            return F.when(F.size(h) == 1, F.split(a, ":")).when(F.size(h) == 2, let(parts, pack))
 
-def _hex_groups(hex32: Column, count: int) -> Column:
-    groups = [F.substring(hex32, 1 + 4 * i, 4) for i in range(count)]
-    return F.array_join(F.array(*[F.regexp_replace(g, "^0{1,3}", "") for g in groups]), ":")
+        return let(F.split(a, "::"), halves)
 
+    def digits(g: Column) -> Column:
+        ok = (F.size(g) == 8) & F.forall(g, lambda x: x.rlike(_GROUP_RE))
+        return F.when(ok, F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), ""))
 
-def _compress(groups: Column, count: int) -> Column:
-    """Replace the longest (leftmost) run of two or more zero groups by ``::``."""
-    bounded = F.concat(F.lit(":"), groups, F.lit(":"))
-    out = None
-    for run in range(count, 1, -1):
-        zeros = ":" + "0:" * run
-        at = F.instr(bounded, zeros)
-        head = F.substring(bounded, F.lit(2), F.greatest(at - 2, F.lit(0)))
-        rest = F.substring(bounded, at + len(zeros), F.length(bounded))
-        text = F.concat(head, F.lit("::"), F.rtrim(rest, F.lit(":")))
-        out = F.when(at > 0, text) if out is None else out.when(at > 0, text)
-    return out.otherwise(groups)
+    shaped = text.contains(":") & text.rlike(_V6_SHAPE_RE)
+    return F.when(shaped, let(let(let(addr, plain), groups), digits))
 
 
-def ipv6_text(hex32: Column, text: Column) -> Column:
-    """Canonical text of a parsed IPv6 address, with the zone id of the input."""
-    zone = F.when(text.contains("%"), F.concat(F.lit("%"), F.substring_index(text, "%", -1))).otherwise("")
-    return F.concat(_compress(_hex_groups(hex32, 8), 8), zone)
+def is_ipv6(text: Column) -> Column:
+    return F.when(text.contains(":"), ipv6_hex(text).isNotNull()).otherwise(False)
 
 
-def v4_refused(number: Column) -> Column:
-    return _v4_in(number, K.V4_REFUSED) & ~_v4_in(number, K.V4_REFUSED_EXCEPT)
+def _v6_in(hex32: Column, blocks: list[str]) -> Column:
+    nets = [ipaddress.ip_network(b) for b in blocks]
+    return reduce(lambda a, b: a | b, [hex32.between(f"{int(n[0]):032x}", f"{int(n[-1]):032x}") for n in nets])
 
 
 def v6_refused(hex32: Column) -> Column:
     return _v6_in(hex32, K.V6_REFUSED) & ~_v6_in(hex32, K.V6_REFUSED_EXCEPT)
 
 
+def ipv6_text(hex32: Column, text: Column) -> Column:
+    """Canonical text of a parsed IPv6 address, with the zone id of the input."""
+    groups = F.transform(
+        F.sequence(F.lit(0), F.lit(7)),
+        lambda i: F.regexp_replace(F.substring(hex32, i * 4 + 1, F.lit(4)), "^0{1,3}", ""),
+    )
+
+    def compress(bounded: Column) -> Column:
+        """Replace the longest (leftmost) run of two or more zero groups by ``::``."""
+        out = None
+        for run in range(8, 1, -1):
+            zeros = ":" + "0:" * run
+            at = F.instr(bounded, zeros)
+            head = F.substring(bounded, F.lit(2), F.greatest(at - 2, F.lit(0)))
+            rest = F.substring(bounded, at + len(zeros), F.length(bounded))
+            short = F.concat(head, F.lit("::"), F.rtrim(rest, F.lit(":")))
+            out = F.when(at > 0, short) if out is None else out.when(at > 0, short)
+        return out.otherwise(F.trim(bounded, F.lit(":")))
+
+    zone = F.when(text.contains("%"), F.concat(F.lit("%"), F.substring_index(text, "%", -1))).otherwise("")
+    return F.concat(let(F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":")), compress), zone)
+
+
 def is_private_ip(text: Column) -> Column:
     """Private, loopback, link-local, multicast, reserved or unspecified; false for what is no address."""
     v6 = let(ipv6_hex(text), lambda h: F.coalesce(v6_refused(h), F.lit(False)))
-    v4 = F.coalesce(v4_refused(ipv4_to_long(text)), F.lit(False))
-    return F.when(text.contains(":"), v6).otherwise(v4)
+    return F.when(text.contains(":"), v6).otherwise(text.rlike(_REFUSED_V4_RE))
 
 
 def is_ip(text: Column) -> Column:
-    return F.when(text.contains(":"), is_ipv6(text)).otherwise(is_ipv4(text))
+    return F.when(text.contains(":"), ipv6_hex(text).isNotNull()).otherwise(is_ipv4(text))
+
+
+def is_public_ip(text: Column) -> Column:
+    v6 = let(ipv6_hex(text), lambda h: F.coalesce(~v6_refused(h), F.lit(False)))
+    return F.when(text.contains(":"), v6).otherwise(text.rlike(_PUBLIC_V4_RE))
+
+
+def canonical_ip(text: Column) -> Column:
+    """Canonical text of an address: an IPv4 address has only one form."""
+    return F.when(text.contains(":"), let(ipv6_hex(text), lambda h: ipv6_text(h, text))).otherwise(text)
 
 
 def normalise_ip(text: Column) -> Column:
     """Canonical text of a public address, NULL otherwise."""
-    v6 = let(ipv6_hex(text), lambda h: F.when(h.isNotNull() & ~v6_refused(h), ipv6_text(h, text)))
-    v4 = F.when(is_ipv4(text) & ~v4_refused(ipv4_to_long(text)), text)
-    return F.when(text.contains(":"), v6).otherwise(v4)
+    return F.when(is_public_ip(text), canonical_ip(text))
 
 
 def valid_candidate(text: Column) -> Column:
     """Keep rule for values found in alerts; a dotted quad that is no address is kept."""
-    number = ipv4_to_long(text)
-    refused = text.rlike(_DOTTED_RE) & F.coalesce(_v4_in(number, K.V4_CANDIDATE_REFUSED), F.lit(False))
-    return (F.length(text) >= 4) & ~text.isin(K.CANDIDATE_REFUSED) & ~refused
+    return (F.length(text) >= 4) & ~text.isin(K.CANDIDATE_REFUSED) & ~text.rlike(_REFUSED_CANDIDATE_RE)

@@ -6,41 +6,58 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from iocweave import constants as K
-from iocweave.functions.base import choose, strip
-from iocweave.functions.ip import is_ip, is_ipv4, is_ipv6, normalise_ip
+from iocweave.functions.base import choose, let, strip
+from iocweave.functions.ip import canonical_ip, is_ip, is_ipv4, is_ipv6, is_public_ip
 
 _HOST_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#]*@)?(?:\[([^\]/?#]*)\]|([^/?#:@\[\]]*))"
 
 
-def norm_domain(text: Column) -> Column:
-    bare = F.trim(F.lower(text), F.lit("."))
-    name = F.when(bare.startswith("www."), F.substring(bare, 5, 1 << 30)).otherwise(bare)
-    last = F.substring_index(name, ".", -1)
-    ok = (
-        name.contains(".")
-        & ~last.isin(K.INTERNAL_DOMAINS)
-        & ~name.isin(K.INTERNAL_DOMAINS)
-        & F.length(name).between(4, 253)
-    )
-    return F.when(ok, name)
+# Each rule has two parts: a test on the stripped text, which a plan can use as a filter, and the canonical text
+# of what passes. A filter on the canonical text itself would be copied below the projection, and compute it twice.
 
 
-def norm_url(text: Column) -> Column:
-    return F.when(text.rlike(r"^https?://[^/?#]"), text)
+def canonical_domain(text: Column) -> Column:
+    return F.regexp_replace(F.trim(F.lower(text), F.lit(".")), r"^www\.", "")
 
 
-def norm_hash(text: Column, ioc_type: Column) -> Column:
-    digest = F.lower(text)
-    ok = (
+def _domain_ok(name: Column) -> Column:
+    internal = "|".join(n.replace(".", r"\.") for n in K.INTERNAL_DOMAINS)
+    # The last label, or the whole name, is internal.
+    refused = rf"^(?:{internal})\z|\.(?:{'|'.join(n for n in K.INTERNAL_DOMAINS if '.' not in n)})\z"
+    return name.contains(".") & F.length(name).between(4, 253) & ~name.rlike(refused)
+
+
+def _hash_ok(digest: Column, ioc_type: Column) -> Column:
+    return (
         (F.length(digest) == choose(ioc_type, K.HASH_LENGTH))
         & digest.rlike(r"^[0-9a-f]+\z")
         & ~digest.isin(K.EMPTY_DIGESTS)
     )
-    return F.when(ok, digest)
+
+
+def _url_ok(text: Column) -> Column:
+    return text.rlike(r"^https?://[^/?#]")
+
+
+def _email_ok(text: Column) -> Column:
+    return text.contains("@") & (F.length(text) >= 6)
+
+
+def norm_domain(text: Column) -> Column:
+    return let(canonical_domain(text), lambda name: F.when(_domain_ok(name), name))
+
+
+def norm_url(text: Column) -> Column:
+    return F.when(_url_ok(text), text)
+
+
+def norm_hash(text: Column, ioc_type: Column) -> Column:
+    digest = F.lower(text)
+    return F.when(_hash_ok(digest, ioc_type), digest)
 
 
 def norm_email(text: Column) -> Column:
-    return F.when(text.contains("@") & (F.length(text) >= 6), F.lower(text))
+    return F.when(_email_ok(text), F.lower(text))
 
 
 def norm_filename(text: Column, original: Column) -> Column:
@@ -48,18 +65,35 @@ def norm_filename(text: Column, original: Column) -> Column:
     return F.when(F.length(text) >= 2, original)
 
 
-def normalise(value: Column, ioc_type: Column) -> Column:
-    """Canonical value by type; NULL for blank, invalid or unknown input."""
+def canonical(value: Column, ioc_type: Column) -> Column:
+    """Canonical text of a value that passes the test of its type."""
+    text = strip(value)
+    return (
+        F.when(ioc_type == K.IP, canonical_ip(text))
+        .when(ioc_type == K.DOMAIN, canonical_domain(text))
+        .when(ioc_type == K.URL, text)
+        .when(ioc_type.isin([*K.HASH_LENGTH, K.EMAIL]), F.lower(text))
+        .when(ioc_type == K.FILENAME, value)
+    )
+
+
+def accepted(value: Column, ioc_type: Column) -> Column:
+    """Whether a value passes the test of its type; blank input and unknown types do not."""
     text = strip(value)
-    by_type = (
-        F.when(ioc_type == K.IP, normalise_ip(text))
-        .when(ioc_type == K.DOMAIN, norm_domain(text))
-        .when(ioc_type == K.URL, norm_url(text))
-        .when(ioc_type.isin(list(K.HASH_LENGTH)), norm_hash(text, ioc_type))
-        .when(ioc_type == K.EMAIL, norm_email(text))
-        .when(ioc_type == K.FILENAME, norm_filename(text, value))
+    test = (
+        F.when(ioc_type == K.IP, is_public_ip(text))
+        .when(ioc_type == K.DOMAIN, let(canonical_domain(text), _domain_ok))
+        .when(ioc_type == K.URL, _url_ok(text))
+        .when(ioc_type.isin(list(K.HASH_LENGTH)), let(F.lower(text), lambda d: _hash_ok(d, ioc_type)))
+        .when(ioc_type == K.EMAIL, _email_ok(text))
+        .when(ioc_type == K.FILENAME, F.length(text) >= 2)
     )
-    return F.when(text != "", by_type)
+    return F.coalesce((text != "") & test, F.lit(False))
+
+
+def normalise(value: Column, ioc_type: Column) -> Column:
+    """Canonical value by type; NULL for blank, invalid or unknown input."""
+    return F.when(accepted(value, ioc_type), canonical(value, ioc_type))
 
 
 def url_hostname(url: Column) -> Column:

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from iocweave.functions.norm import normalise
+from iocweave.functions.norm import accepted, canonical
 
 KEY = ["value", "ioc_type"]
 
 
 def normalise_rows(iocs: DataFrame) -> DataFrame:
     """Canonical values; refused rows go. Runs in the scan stage, before any shuffle."""
-    return iocs.withColumn("value", normalise(F.col("value"), F.col("ioc_type"))).filter("value IS NOT NULL")
+    value, ioc_type = F.col("value"), F.col("ioc_type")
+    return iocs.filter(accepted(value, ioc_type)).withColumn("value", canonical(value, ioc_type))
 
 
 def rejected_rows(iocs: DataFrame) -> DataFrame:
     """How many rows of each feed and type the normaliser refuses."""
-    refused = iocs.filter(normalise(F.col("value"), F.col("ioc_type")).isNull())
+    refused = iocs.filter(~accepted(F.col("value"), F.col("ioc_type")))
     return refused.groupBy("source_feed", "ioc_type").agg(F.count("*").alias("n"))
 
 

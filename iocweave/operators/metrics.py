@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iocweave import constants as K
-from iocweave.functions.base import seconds_between, strip
+from iocweave.functions.base import round_exact, seconds_between, strip
 
 # Link names between the indicators that one feed record gives, by type pair.
 RELATIONSHIPS = {
@@ -25,7 +25,7 @@ def feed_run_result(flagged: DataFrame) -> DataFrame:
 
     ``flagged`` has ``feed_name`` and ``is_new``; every new row of a table write is stored.
     """
-    new = F.count_if("is_new")
+    new = F.count_if(F.col("is_new"))
     return flagged.groupBy("feed_name").agg(
         F.count("*").alias("total_fetched"),
         new.alias("new_iocs"),
@@ -35,7 +35,7 @@ def feed_run_result(flagged: DataFrame) -> DataFrame:
 
 
 def feed_run_rates(runs: DataFrame) -> DataFrame:
-    rate = F.round(F.col("stored") / F.col("new_iocs") * 100.0, 1)
+    rate = round_exact(F.try_divide("stored", "new_iocs") * 100.0, 1)
     return runs.withColumns(
         {
             "duration_seconds": seconds_between(F.col("finished_at"), F.col("started_at")),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iocweave import constants as K
-from iocweave.functions.base import choose, seconds_between
+from iocweave.functions.base import choose, round_exact, seconds_between
 
 
 def recency_score(last_seen: Column, now: Column) -> Column:
@@ -49,7 +49,7 @@ def threat_score(
         * choose(ioc_type, K.TYPE_WEIGHT, K.DEFAULT_TYPE_WEIGHT)
         * choose(level, K.LEVEL_MULTIPLIER, K.DEFAULT_LEVEL_MULTIPLIER)
     )
-    return F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), weighted + tag_signal(tags))), 2)
+    return round_exact(F.least(F.lit(100.0), F.greatest(F.lit(0.0), weighted + tag_signal(tags))), 2)
 
 
 def score_iocs(iocs: DataFrame, now: Column, weights: Mapping[str, float] = K.DEFAULT_WEIGHTS) -> DataFrame:

@@ -22,22 +22,23 @@ def live(seen: DataFrame, now: Column) -> DataFrame:
 
 
 def hits(batch: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    """Keys of the batch that are live in the seen set.
+    """Keys of a small batch that are live in the seen set.
 
-    The seen set is the large side. Semi-joined to the batch keys it is filtered in place whenever the batch is
-    small enough for the engine to broadcast, and only the hits move.
+    Semi-joined to the batch keys, the seen set is filtered in place whenever the batch is small enough for the
+    engine to broadcast, and only the hits move. The batch is read, so it should be at hand (a micro-batch).
     """
     return live(seen, now).select(*KEY).join(batch.select(*KEY), KEY, "left_semi").distinct()
 
 
 def flag_seen(batch: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    """Add ``is_seen`` to a batch of unique keys."""
-    found = hits(batch, seen, now).withColumn("_hit", F.lit(True))
-    return batch.join(found, KEY, "left").withColumn("is_seen", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Add ``is_seen``. The batch is computed once; keys are unique on both sides, so no group is large."""
+    known = live(seen, now).select(*KEY).distinct().withColumn("_hit", F.lit(True))
+    return batch.join(known, KEY, "left").withColumn("is_seen", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def new_rows(batch: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    return batch.join(hits(batch, seen, now), KEY, "left_anti")
+    """Rows of the batch whose key is not live in the seen set."""
+    return batch.join(live(seen, now).select(*KEY), KEY, "left_anti")
 
 
 def seen_entries(accepted: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> DataFrame:

@@ -23,9 +23,8 @@ def flag_batch(iocs: DataFrame, seen_table: DataFrame, now: Column) -> DataFrame
     """
     per_feed = dedup.flag_first_feed(dedup.dedup_per_feed(dedup.normalise_rows(iocs)))
     first = per_feed.select("*", feed_name(F.col("ord.feed_rank")).alias("feed_name"))
-    found = seen.hits(first, seen_table, now).withColumn("_hit", F.lit(True))
-    is_new = F.col("_hit").isNull() & F.col("first_feed")
-    return first.join(found, dedup.KEY, "left").withColumn("is_new", is_new).drop("_hit", "first_feed")
+    is_new = ~F.col("is_seen") & F.col("first_feed")
+    return seen.flag_seen(first, seen_table, now).withColumn("is_new", is_new).drop("is_seen", "first_feed")
 
 
 def run_feeds(iocs: DataFrame, seen_table: DataFrame, now: Column, ttl_days: int = seen.TTL_DAYS) -> dict[str, DataFrame]:

@@ -110,7 +110,7 @@ def url_fields(d: str) -> dict[str, str]:
 def threatfox_fields(d: str) -> dict[str, str]:
     return {
         "fetch_id": f"concat_ws('-', {pad('l_orderkey')}, {pad('l_partkey')}, {pad('l_suppkey')}, l_linenumber, "
-        "CAST(l_quantity AS INT), CAST(round(l_extendedprice * 100) AS BIGINT))",
+        "CAST(l_quantity AS INT), CAST(floor(l_extendedprice) AS BIGINT))",
         "id": "concat(l_orderkey, '-', l_linenumber)",
         "ioc": f"CASE l_linenumber WHEN 1 THEN concat({ip('l_suppkey')}, ':4444') "
         f"WHEN 2 THEN concat('WWW.', {dom('l_suppkey')}, '.') WHEN 3 THEN {url('l_partkey')} "
