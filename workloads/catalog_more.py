@@ -316,14 +316,9 @@ def score_ioc(spark, d):
     return score.score_iocs(batch(spark, d), D.now()).select("value", "ioc_type", "source_feed", "threat_score")
 
 
-@query("score_rank", S.with_(S.IOCS, f"SELECT value, ioc_type, threat_score, CAST(row_number() OVER (PARTITION BY ioc_type ORDER BY threat_score DESC, value) AS INTEGER) AS rank FROM (SELECT value, ioc_type, {SCORE_SQL} AS threat_score FROM firsts) QUALIFY rank <= 100"))
+@query("score_rank", S.with_(S.IOCS, f"SELECT value, ioc_type, {SCORE_SQL} AS threat_score FROM firsts ORDER BY threat_score DESC, value, ioc_type"))
 def score_rank(spark, d):
-    """The 100 best of each type, in rank order."""
-    from pyspark.sql import Window
-
-    scored = score.score_iocs(batch(spark, d), D.now()).select("value", "ioc_type", "threat_score")
-    w = Window.partitionBy("ioc_type").orderBy(F.desc("threat_score"), "value")
-    return score.rank_iocs(scored.withColumn("rank", F.row_number().over(w)).filter("rank <= 100"))
+    return score.rank_iocs(score.score_iocs(batch(spark, d), D.now())).select("value", "ioc_type", "threat_score")
 
 
 # --- per-alert aggregates ------------------------------------------------------------------------------------
