@@ -172,8 +172,13 @@ def clean_candidates(values: Column) -> Column:
 
 
 def candidate_rows(alerts: DataFrame) -> DataFrame:
-    """Long form: one row per alert and candidate."""
-    return alerts.select("alert_key", "source_siem", F.explode("extracted_iocs").alias("value"))
+    """Long form: one row per alert and candidate.
+
+    The outer explode keeps the optimizer from adding a filter on the array, which would extract twice.
+    """
+    return alerts.select("alert_key", "source_siem", F.explode_outer("extracted_iocs").alias("value")).filter(
+        "value IS NOT NULL"
+    )
 
 
 def entity_candidates(incidents: DataFrame, entities: DataFrame) -> DataFrame:
@@ -183,7 +188,7 @@ def entity_candidates(incidents: DataFrame, entities: DataFrame) -> DataFrame:
     of one incident are never gathered in one row.
     """
     pairs = (
-        entities.select("alert_key", F.explode(entity_values(F.col("entity"))).alias("value"))
+        entities.select("alert_key", F.explode_outer(entity_values(F.col("entity"))).alias("value"))
         .filter(valid_candidate(F.col("value")))
         .distinct()
     )

@@ -131,17 +131,22 @@ def actor_profile(iocs: DataFrame) -> DataFrame:
     return totals.join(listed, "actor")
 
 
-def ioc_relationships(iocs: DataFrame) -> DataFrame:
+# Feeds whose records emit several indicators.
+RECORD_FEEDS = ("abusech_malware", "abusech_url")
+
+
+def ioc_relationships(iocs: DataFrame, feeds: tuple[str, ...] = RECORD_FEEDS) -> DataFrame:
     """Edges between the indicators that one feed record emitted together.
 
     A record is the ``ord`` without its last part and emits at most three indicators, so a group is tiny however
-    often a sample was reported; repeated edges then combine before the exchange. Pulses list indicators that
-    were not emitted from one record, so they give no edges.
+    often a sample was reported; repeated edges then combine before the exchange. Other feeds give one indicator per
+    record, so they are left out.
     """
     record = ["source_feed", "ord.feed_rank", "ord.subfeed_rank", "ord.fetch_id", "ord.record_pos", "ord.element_pos"]
     member = F.struct(F.col("ord.emit_rank").alias("emit"), "value", "ioc_type", "confidence")
     records = (
-        iocs.groupBy(*record)
+        iocs.filter(F.col("source_feed").isin(list(feeds)))
+        .groupBy(*record)
         .agg(F.array_sort(F.collect_list(member)).alias("m"), F.min("first_seen").alias("first_seen"))
         .filter(F.size("m") > 1)
     )

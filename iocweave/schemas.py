@@ -1,7 +1,7 @@
 """Schemas of the landed feeds and of the tables the library reads and writes."""
 
 ORD = (
-    "struct<feed_rank:int,subfeed_rank:int,fetch_id:string,record_pos:int,element_pos:int,emit_rank:int>"
+    "struct<feed_rank:int,subfeed_rank:int,fetch_id:string,record_pos:bigint,element_pos:int,emit_rank:int>"
 )
 
 IOCS = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the plans rely on. All are run-time settings; the number of shuffle partitions is left to the cluster.
 SETTINGS = {
@@ -46,3 +46,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_dir(spark, "checkpoint"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give heavy row-wise work all cores when the input has fewer splits than cores (one small file, say).
+
+    At scale a scan has more splits than cores and this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -119,7 +119,7 @@ def reverse_search(parsed: DataFrame, values: DataFrame, per_value: int = 10) ->
     found = parsed.select(
         "alert_key",
         "triggered_at",
-        F.explode(F.array_distinct(extract.elastic_path_values(F.col("v"), K.SEARCH_PATHS))).alias("value"),
+        F.explode_outer(F.array_distinct(extract.elastic_path_values(F.col("v"), K.SEARCH_PATHS))).alias("value"),
     ).join(spread_keys(values.select("value").distinct(), "value"), "value")
     w = Window.partitionBy("value").orderBy(F.desc("triggered_at"), "alert_key")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_value)

@@ -2,7 +2,8 @@
 
 Each flattener takes a DataFrame with the envelope columns of ``schemas`` plus ``fetch_id``, a string that
 sorts in the order the envelopes were fetched, and gives rows of ``schemas.IOCS``. They are narrow
-transformations (explodes and projections), so they run in the scan stage and work on streams too.
+transformations (explodes and projections), so they run in the scan stage and work on streams too. The explodes are
+outer ones: an inner explode makes the optimizer add a filter on the array, which computes the array once more.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def ord_struct(feed: str, subfeed: str | None, record: Column, element: Column,
         F.lit(FEED_RANK[feed]).alias("feed_rank"),
         F.lit(SUBFEED_RANK.get(subfeed, 0)).alias("subfeed_rank"),
         F.col("fetch_id").cast("string").alias("fetch_id"),
-        record.cast("int").alias("record_pos"),
+        record.cast("bigint").alias("record_pos"),
         element.cast("int").alias("element_pos"),
         emit.cast("int").alias("emit_rank"),
     )
@@ -56,7 +57,7 @@ def flatten_otx(envelopes: DataFrame, now: Column) -> DataFrame:
     bad = (p["created"].isNotNull() & created.isNull()) | (
         F.coalesce(p["modified"], p["created"]).isNotNull() & modified.isNull()
     )
-    pulses = envelopes.select("fetch_id", F.posexplode("results").alias("record_pos", "pulse")).select(
+    pulses = envelopes.select("fetch_id", F.posexplode_outer("results").alias("record_pos", "pulse")).select(
         "fetch_id",
         "record_pos",
         _text(p["id"]).alias("pulse_id"),
@@ -73,7 +74,7 @@ def flatten_otx(envelopes: DataFrame, now: Column) -> DataFrame:
         p["indicators"].alias("indicators"),
     )
     i = F.col("indicator")
-    rows = pulses.select("*", F.posexplode("indicators").alias("element_pos", "indicator")).withColumns(
+    rows = pulses.select("*", F.posexplode_outer("indicators").alias("element_pos", "indicator")).withColumns(
         {"value": strip(i["indicator"]), "ioc_type": M.map_otx_type(i["type"])}
     )
     return rows.filter(F.col("ioc_type").isNotNull() & (F.col("value") != "")).select(
@@ -109,7 +110,7 @@ def _emit(records: DataFrame, subfeed: str, emitted: list[list[Column]]) -> Data
     ranked = [F.struct(F.lit(i).alias("emit_rank"), *fields) for i, fields in enumerate(emitted)]
     kept = ["fetch_id", "record_pos", "tags", "first_seen", "last_seen", "pulse_id", "raw"]
     return (
-        records.select(*kept, F.inline(F.array(*ranked)))
+        records.select(*kept, F.inline_outer(F.array(*ranked)))
         .filter("value <> '' AND ioc_type IS NOT NULL")
         .select(
             "value",
@@ -143,7 +144,7 @@ def flatten_malware(envelopes: DataFrame, now: Column) -> DataFrame:
     file_type = F.coalesce(nonempty(s["file_type"]), F.lit("unknown"))
     records = (
         envelopes.filter("query_status = 'ok'")
-        .select("fetch_id", F.posexplode("data").alias("record_pos", "s"))
+        .select("fetch_id", F.posexplode_outer("data").alias("record_pos", "s"))
         .withColumn("sha", strip(_text(s["sha256_hash"])))
         .filter("sha <> ''")
         .select(
@@ -180,7 +181,7 @@ def flatten_urls(envelopes: DataFrame, now: Column) -> DataFrame:
     threat = _text(u["threat"])
     level = F.when(F.lower(threat).contains("malware"), "high").otherwise("medium")
     records = (
-        envelopes.select("fetch_id", F.posexplode("urls").alias("record_pos", "u"))
+        envelopes.select("fetch_id", F.posexplode_outer("urls").alias("record_pos", "u"))
         .withColumn("url", strip(_text(u["url"])))
         .filter("url <> ''")
         .select(
@@ -221,7 +222,7 @@ def flatten_threatfox(envelopes: DataFrame, now: Column) -> DataFrame:
     value = strip(_text(t["ioc"]))
     records = (
         envelopes.filter("query_status = 'ok'")
-        .select("fetch_id", F.posexplode("data").alias("record_pos", "t"))
+        .select("fetch_id", F.posexplode_outer("data").alias("record_pos", "t"))
         .filter(value != "")
         .select(
             "fetch_id",

@@ -64,7 +64,11 @@ def read_feed(spark: SparkSession, name: str, path: str, now: Column) -> DataFra
     if not fs.globStatus(hadoop_path):
         return None
     landed = spark.read.format(feed.fmt).options(**_options(feed)).schema(_schema(feed)).load(path)
-    return feed.flatten(_with_fetch_id(landed), now)
+    landed = _with_fetch_id(landed)
+    if feed.fmt == "csv":
+        # Lines have no position of their own; this id grows along a file.
+        landed = landed.withColumn("line_pos", F.monotonically_increasing_id())
+    return feed.flatten(landed, now)
 
 
 def read_feeds(spark: SparkSession, paths: dict[str, str], now: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from iocweave.session import spread
 from iocweave.sources import feeds
 
 NOW_TEXT = "2024-01-31 00:00:00"
@@ -19,8 +20,13 @@ def now():
     return F.lit(NOW_TEXT).cast("timestamp_ntz")
 
 
+# Tables whose rows get heavy work.
+SPREAD = {"events", "lineitem", "orders", "documents", "pages", "customer"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0]) if name in SPREAD else df
 
 
 def ip(k: str) -> str:
