@@ -149,7 +149,7 @@ def enriched_alerts(
         # An alert without candidates joins to nothing, but must not share one key with all others of its kind.
         F.coalesce("value", F.concat(F.lit("\u0000"), "alert_key")).alias("value"),
     )
-    joined = pairs.join(match.spread_keys(index, "value"), "value", "left")
+    joined = match.skew_join(pairs, index, ["value"], "left")
     if results is None:
         ext = F.lit(None).cast("array<struct<source:string>>")
         has_ext = F.lit(False)

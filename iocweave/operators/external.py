@@ -11,7 +11,7 @@ from iocweave import constants as K
 from iocweave.functions.base import choose, empty_strings, nonempty
 from iocweave.functions.norm import infer_ioc_type
 from iocweave.operators.dedup import keep_first
-from iocweave.operators.match import spread_keys
+from iocweave.operators.match import skew_join
 from iocweave.sources.registry import PROVIDERS, Provider, register_provider
 
 RESULT_COLUMNS = ["source", "ioc_value", "ioc_type", "found", "malicious_score", "summary", "details", "link"]
@@ -152,7 +152,7 @@ def external_unmatched(candidates: DataFrame, matches: DataFrame, results: DataF
         .filter("ioc_type IS NOT NULL")
     )
     usable = results.filter(supports(F.col("source"), F.col("ioc_type"))).withColumnRenamed("ioc_value", "value")
-    return unmatched.join(spread_keys(usable, "value", "ioc_type"), ["value", "ioc_type"])
+    return skew_join(unmatched, usable, ["value", "ioc_type"])
 
 
 def results_per_value(results: DataFrame) -> DataFrame:

@@ -12,13 +12,18 @@ from iocweave.operators.dedup import keep_first
 ATTRIBUTE_COLUMNS = ["attribute_id", "event_id", "event_info", "type", "value", "comment", "tags", "seq"]
 
 
-def spread_keys(side: DataFrame, *keys: str) -> DataFrame:
-    """Put the unique-key side of a join behind its own exchange.
+def skew_join(rows: DataFrame, index: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows, in which a key may be very frequent, to an index with unique keys.
 
-    With a plain exchange on both sides the engine can split a skewed partition of the other side at run time
-    and read this side once per split. An aggregate directly under the join would rule that out.
+    The engine splits a skewed partition at run time only if both sides of the join come straight from an exchange.
+    An index is an aggregate on the same keys and would be joined without one, so a digest of the keys is joined
+    too: it changes no result, but the aggregate is not partitioned by it, and gets its own exchange. A side small
+    enough to broadcast is still broadcast.
     """
-    return side.repartition(*[F.col(k) for k in keys])
+    digest = F.xxhash64(*keys)
+    return (
+        rows.withColumn("_digest", digest).join(index.withColumn("_digest", digest), [*keys, "_digest"], how).drop("_digest")
+    )
 
 
 def feed_of_event(event_info: Column) -> Column:
@@ -95,7 +100,7 @@ def match_candidates(
 ) -> DataFrame:
     """At most one match per (alert, value)."""
     iocs = index_as_iocs(match_index(attributes), now, match_mode)
-    return candidates.join(spread_keys(iocs, "value"), "value")
+    return skew_join(candidates, iocs, ["value"])
 
 
 def _tag_order(attributes: DataFrame) -> DataFrame:

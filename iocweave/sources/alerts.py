@@ -9,7 +9,7 @@ from iocweave import constants as K
 from iocweave.functions.base import nonempty
 from iocweave.functions.feedmap import parse_iso_drop_tz
 from iocweave.operators import extract
-from iocweave.operators.match import spread_keys
+from iocweave.operators.match import skew_join
 from iocweave.sources.registry import ALERT_SOURCES, AlertSource, register_alert_source
 
 
@@ -120,6 +120,7 @@ def reverse_search(parsed: DataFrame, values: DataFrame, per_value: int = 10) ->
         "alert_key",
         "triggered_at",
         F.explode_outer(F.array_distinct(extract.elastic_path_values(F.col("v"), K.SEARCH_PATHS))).alias("value"),
-    ).join(spread_keys(values.select("value").distinct(), "value"), "value")
+    ).filter("value IS NOT NULL")
+    found = skew_join(found, values.select("value").distinct(), ["value"])
     w = Window.partitionBy("value").orderBy(F.desc("triggered_at"), "alert_key")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= per_value)
