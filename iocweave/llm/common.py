@@ -8,7 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from iocweave.session import tune, work_dir
 
@@ -16,9 +17,18 @@ from iocweave.session import tune, work_dir
 BATCH_BYTES = 8 << 20
 
 
+#: A Bloom filter has at most 8 MB whatever it is made from, so it may be used for tables of any size.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     tune(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
     return spark
 
 
@@ -46,6 +56,12 @@ def chunks(texts: pa.Array, most_bytes: int = BATCH_BYTES) -> Iterator[slice]:
         yield slice(start, len(sizes))
 
 
+def same_columns(documents: DataFrame, **changed: Column) -> list[Column]:
+    """All columns of ``documents`` in order, some of them replaced. Internal names start with ``__llm_``, so columns
+    of any other name pass unharmed."""
+    return [changed[c].alias(c) if c in changed else F.col("`" + c.replace("`", "``") + "`") for c in documents.columns]
+
+
 def rows_of(texts: pa.Array, part: slice) -> pa.Array:
     """A copy of some rows: not every Arrow function reads a slice from its own start."""
     return texts.take(pa.array(np.arange(part.start, part.stop)))

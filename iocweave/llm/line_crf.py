@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iocweave.llm.common import chunks, rows_of, starts_of, words_of
+from iocweave.llm.common import chunks, rows_of, same_columns, starts_of, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -308,5 +308,5 @@ def judge(documents: DataFrame, field: Field, min_share: float = 0.5) -> DataFra
 
 def keep_content(documents: DataFrame, field: Field, min_share: float = 0.5) -> DataFrame:
     """The rows of ``documents`` that are kept, with all their columns."""
-    marked = documents.withColumn("_verdict", verdict(F.col("text"), field, min_share))
-    return marked.filter("_verdict.kept").select(*[F.col(c) for c in documents.columns])
+    marked = documents.withColumn("__llm_verdict", verdict(F.col("text"), field, min_share))
+    return marked.filter("__llm_verdict.kept").select(*same_columns(documents))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from iocweave.llm.common import same_columns
+
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
@@ -246,4 +248,4 @@ def pseudonyms(text: Column, key: bytes) -> Column:
 def replace_private(documents: DataFrame, key: bytes) -> DataFrame:
     """``documents`` with pseudonyms in text; all columns and rows stay, and null ids and texts stay null."""
     new = pseudonyms(F.col("text"), key)["text"]
-    return documents.select(*[new.alias(c) if c == "text" else F.col(c) for c in documents.columns])
+    return documents.select(*same_columns(documents, text=new))

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iocweave.llm.common import chunks, rows_of, starts_of, words_of, written
+from iocweave.llm.common import chunks, rows_of, same_columns, starts_of, words_of, written
 from iocweave.llm.components import components
 from iocweave.operators.match import skew_join
 
@@ -204,12 +204,9 @@ def keep_one(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFra
     All columns are kept. Of repeated rows one stays. A row with a null doc_id stays only if its whole group has none.
     """
     best = _marked(documents, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    absent = F.col("doc_id").isNull()
-    best = best.groupBy("root", F.coalesce("doc_id", F.lit(0)).alias("_id"), absent.alias("_absent")).agg(
-        F.min("text_hash").alias("_hash")
-    )
-    keys = ["_id", "_absent", "_hash"]
-    rows = documents.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_absent": absent, "_hash": F.xxhash64(F.col("text").cast("string"))}
-    )
-    return rows.join(best, keys, "left_semi").dropDuplicates(keys).select(*[F.col(c) for c in documents.columns])
+    absent, known = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    keys = ["__llm_id", "__llm_absent", "__llm_hash"]
+    best = best.groupBy("root", known.alias("__llm_id"), absent.alias("__llm_absent")).agg(F.min("text_hash").alias("__llm_hash"))
+    own = dict(zip(keys, (known, absent, F.xxhash64(F.col("text").cast("string"))), strict=True))
+    rows = documents.withColumns(own).join(best, keys, "left_semi").dropDuplicates(keys)
+    return rows.select(*same_columns(documents))
