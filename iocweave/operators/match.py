@@ -38,8 +38,8 @@ def known_attributes(attributes: DataFrame) -> DataFrame:
 
 
 def lookup_bulk(values: DataFrame, attributes: DataFrame) -> DataFrame:
-    """All attributes of many values in one equi-join."""
-    return values.select("value").distinct().join(attributes, "value")
+    """All attributes of many values in one equi-join; a value with very many attributes is split over tasks."""
+    return skew_join(attributes, values.select("value").distinct(), ["value"]).select("value", *[c for c in attributes.columns if c != "value"])
 
 
 def match_index(attributes: DataFrame) -> DataFrame:

@@ -34,6 +34,25 @@ def feed_run_result(flagged: DataFrame) -> DataFrame:
     )
 
 
+def run_times(results: DataFrame, started_at: Column, finished_at: Column, errors: DataFrame | None = None) -> DataFrame:
+    """Run results with their times and errors: rows of ``schemas.FEED_RUNS``. ``errors`` has (feed_name, error), a row
+    for each failure of the run."""
+    timed = results.withColumns({"started_at": started_at, "finished_at": finished_at})
+    if errors is None:
+        none = {"errors": F.lit(0).cast("bigint"), "error_details": F.array().cast("array<string>")}
+        return timed.withColumns(none)
+    failed = errors.groupBy("feed_name").agg(
+        F.count("*").alias("errors"), F.array_sort(F.collect_list("error")).alias("error_details")
+    )
+    joined = timed.join(failed, "feed_name", "full")
+    counts = ["total_fetched", "new_iocs", "duplicate_iocs", "stored", "errors"]
+    filled = {c: F.coalesce(c, F.lit(0)) for c in counts} | {
+        "error_details": F.coalesce("error_details", F.array().cast("array<string>")),
+        "started_at": started_at, "finished_at": finished_at,
+    }
+    return joined.withColumns(filled)
+
+
 def feed_run_rates(runs: DataFrame) -> DataFrame:
     rate = round_exact(F.try_divide("stored", "new_iocs") * 100.0, 1)
     return runs.withColumns(
@@ -51,13 +70,17 @@ def feed_last_result(runs: DataFrame) -> DataFrame:
     return runs.groupBy("feed_name").agg(latest.alias("r")).select("feed_name", "r.*")
 
 
-def _count_map(df: DataFrame, key: str, name: str) -> DataFrame:
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    return counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "n")))).alias(name))
+def _summed(pairs: Column) -> Column:
+    """Map from (name, n) entries, n summed by name."""
+    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"])))
+    total = lambda name: F.aggregate(
+        F.filter(pairs, lambda p: p["name"] == name), F.lit(0).cast("bigint"), lambda acc, p: acc + p["n"]
+    )
+    return F.map_from_entries(F.transform(names, lambda name: F.struct(name, total(name))))
 
 
 def pipeline_metrics(iocs: DataFrame, enriched: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
-    """One row of counters. Every input is first reduced to one row, so the joins are of single rows."""
+    """One row of counters. Every input is read once and reduced to one row; the rows are then laid over each other."""
     recent = (F.col("enriched_at") > now - F.expr("INTERVAL 1 HOUR")) & (F.col("enriched_at") <= now)
     alerts = enriched.agg(
         F.count_if(recent).alias("alerts_enriched_last_hour"),
@@ -65,22 +88,23 @@ def pipeline_metrics(iocs: DataFrame, enriched: DataFrame, runs: DataFrame, now:
         F.count_if(recent & F.col("should_notify")).alias("notifications_sent_last_hour"),
         F.max("enriched_at").alias("last_enrichment_run"),
     )
-    total = iocs.agg(F.count("*").alias("total_iocs_cached"))
+    # A row for each feed and type, however many indicators there are.
+    counts = iocs.groupBy("source_feed", "ioc_type").agg(F.count("*").alias("n"))
+    pairs = lambda key: F.collect_list(F.struct(F.col(key).alias("name"), "n"))
+    totals = counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_iocs_cached"),
+        pairs("source_feed").alias("by_feed"),
+        pairs("ioc_type").alias("by_type"),
+    ).select("total_iocs_cached", _summed(F.col("by_feed")).alias("iocs_by_feed"), _summed(F.col("by_type")).alias("iocs_by_type"))
     last = feed_last_result(runs)
     entry = lambda value: F.map_from_entries(F.array_sort(F.collect_list(F.struct("feed_name", value))))
     feeds = last.agg(
         entry((F.col("errors") == 0).alias("ok")).alias("feed_health"),
         entry(F.col("finished_at")).alias("last_feed_run"),
     )
-    parts = [
-        total,
-        _count_map(iocs, "source_feed", "iocs_by_feed"),
-        _count_map(iocs, "ioc_type", "iocs_by_type"),
-        alerts,
-        feeds,
-    ]
-    one_row = [p.withColumn("_one", F.lit(1)) for p in parts]
-    return reduce(lambda a, b: a.join(b, "_one"), one_row).withColumn("timestamp", now).drop("_one")
+    parts = [totals, alerts, feeds]
+    laid = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return laid.agg(*[F.first(c, ignorenulls=True).alias(c) for c in laid.columns]).withColumn("timestamp", now)
 
 
 def tag_actor(tag: Column) -> Column:
@@ -106,29 +130,26 @@ def actor_profile(iocs: DataFrame) -> DataFrame:
         F.collect_set("source_feed").alias("feeds"),
         F.array_distinct(F.flatten(F.collect_set("attack_techniques"))).alias("techniques"),
     )
-    totals = per_ioc.groupBy("actor").agg(
-        F.count("*").alias("ioc_count"), F.min("lo").alias("first_seen"), F.max("hi").alias("last_seen")
+    # One row for the indicator itself and one for each feed and technique, so that one aggregate serves all of them.
+    entry = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    entries = F.concat(
+        F.array(entry("ioc", F.lit(None).cast("string"))),
+        F.transform("feeds", lambda f: entry("feed", f)),
+        F.transform("techniques", lambda t: entry("technique", t)),
     )
     listed = (
-        per_ioc.select(
-            "actor",
-            F.explode(
-                F.concat(
-                    F.transform("feeds", lambda f: F.struct(F.lit("feed").alias("kind"), f.alias("name"))),
-                    F.transform("techniques", lambda t: F.struct(F.lit("technique").alias("kind"), t.alias("name"))),
-                )
-            ).alias("e"),
-        )
-        .distinct()
-        .groupBy("actor")
-        .agg(
-            F.array_sort(F.collect_list(F.when(F.col("e.kind") == "feed", F.col("e.name")))).alias("source_feeds"),
-            F.array_sort(F.collect_list(F.when(F.col("e.kind") == "technique", F.col("e.name")))).alias(
-                "attack_techniques"
-            ),
-        )
+        per_ioc.select("actor", "lo", "hi", F.explode(entries).alias("e"))
+        .groupBy("actor", F.col("e.kind").alias("kind"), F.col("e.name").alias("name"))
+        .agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+    names = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("name"))))
+    return listed.groupBy("actor").agg(
+        F.max(F.when(F.col("kind") == "ioc", F.col("n"))).alias("ioc_count"),
+        F.min("lo").alias("first_seen"),
+        F.max("hi").alias("last_seen"),
+        names("feed").alias("source_feeds"),
+        names("technique").alias("attack_techniques"),
     )
-    return totals.join(listed, "actor")
 
 
 # Feeds whose records emit several indicators.
@@ -138,9 +159,9 @@ RECORD_FEEDS = ("abusech_malware", "abusech_url")
 def ioc_relationships(iocs: DataFrame, feeds: tuple[str, ...] = RECORD_FEEDS) -> DataFrame:
     """Edges between the indicators that one feed record emitted together.
 
-    A record is the ``ord`` without its last part and emits at most three indicators, so a group is tiny however
-    often a sample was reported; repeated edges then combine before the exchange. Other feeds give one indicator per
-    record, so they are left out.
+    A record is the ``ord`` without its last part. It is one line's record, so a group holds what its flattener emits
+    for one record, however often a sample was reported; every pair of them is an edge. Repeated edges then combine
+    before the exchange. Other feeds give one indicator per record, so they are left out.
     """
     record = ["source_feed", "ord.feed_rank", "ord.subfeed_rank", "ord.fetch_id", "ord.record_pos", "ord.element_pos"]
     member = F.struct(F.col("ord.emit_rank").alias("emit"), "value", "ioc_type", "confidence")
@@ -150,12 +171,9 @@ def ioc_relationships(iocs: DataFrame, feeds: tuple[str, ...] = RECORD_FEEDS) ->
         .agg(F.array_sort(F.collect_list(member)).alias("m"), F.min("first_seen").alias("first_seen"))
         .filter(F.size("m") > 1)
     )
-    pair = lambda i, j: F.struct(
-        F.get("m", F.lit(i)).alias("s"), F.get("m", F.lit(j)).alias("t")
-    )
-    edges = records.select(
-        "source_feed", "first_seen", F.explode(F.array(pair(0, 1), pair(0, 2), pair(1, 2))).alias("e")
-    ).filter("e.s IS NOT NULL AND e.t IS NOT NULL")
+    later = lambda i: F.slice("m", i + 2, F.size("m"))
+    pairs = F.flatten(F.transform("m", lambda s, i: F.transform(later(i), lambda t: F.struct(s.alias("s"), t.alias("t")))))
+    edges = records.select("source_feed", "first_seen", F.explode(pairs).alias("e"))
     kind = None
     for (a, b), name in RELATIONSHIPS.items():
         cond = (F.col("e.s.ioc_type") == a) & (F.col("e.t.ioc_type") == b)

@@ -96,6 +96,13 @@ def _accept_array(times: Column, ttl_days: int) -> Column:
     )
 
 
+def after_last(sightings: DataFrame, last: DataFrame, ttl_days: int = TTL_DAYS) -> DataFrame:
+    """Sightings (KEY, ts) that a last accepted time (KEY, last) does not hold back."""
+    ttl = F.expr(f"INTERVAL {int(ttl_days)} DAYS")
+    joined = sightings.join(last, KEY, "left")
+    return joined.filter(F.col("last").isNull() | (F.col("ts") >= F.col("last") + ttl)).drop("last")
+
+
 def ttl_accept_sequence(
     sightings: DataFrame, ttl_days: int = TTL_DAYS, ts: str = "ts", array_limit: int = ARRAY_LIMIT
 ) -> DataFrame:

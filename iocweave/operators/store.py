@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from iocweave import constants as K
 from iocweave.functions.base import choose
 
+# Defaults of the parameters below.
 COMMENT_LENGTH = 255
 TAGS_PER_IOC = 10
 
@@ -20,7 +21,12 @@ def with_event(iocs: DataFrame, run_date: Column) -> DataFrame:
     )
 
 
+# What an attribute keeps of its indicator, so that a lookup can answer with it.
+STORED_FIELDS = ("threat_level", "confidence", "first_seen", "last_seen", "attack_techniques")
+
+
 def store_attributes(iocs: DataFrame, run_date: Column) -> DataFrame:
+    """Rows to store. ``seq`` is the order of arrival: the day of the run, then ``ord``; lookups prefer the first."""
     stored = with_event(iocs, run_date)
     return stored.select(
         F.sha2(F.concat_ws("|", "event_id", "ioc_type", "value"), 256).alias("attribute_id"),
@@ -31,6 +37,8 @@ def store_attributes(iocs: DataFrame, run_date: Column) -> DataFrame:
         F.substring(F.coalesce("description", F.lit("")), 1, COMMENT_LENGTH).alias("comment"),
         F.lit(True).alias("to_ids"),
         "tags",
+        F.struct(F.col("run_date").alias("day"), F.col("ord").alias("ord")).alias("seq"),
+        *[c for c in STORED_FIELDS if c in iocs.columns],
         "source_feed",
         "run_date",
     )

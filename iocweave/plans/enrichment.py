@@ -18,7 +18,7 @@ def enrich_cycle(
 ) -> dict[str, DataFrame]:
     enriched = enrich.enriched_alerts(prepare(alerts, now), attributes, now, results, **options)
     return {
-        "enriched_alerts": enriched,
+        "enriched_alerts": enriched.withColumn("enriched_at", now),
         "tag_outbox": outbox.tag_writeback(enriched, now),
         "tag_rejects": outbox.tag_rejects(enriched),
         "notify_outbox": outbox.notify_outbox(enriched, now),

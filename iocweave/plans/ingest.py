@@ -38,5 +38,5 @@ def run_feeds(iocs: DataFrame, seen_table: DataFrame, now: Column, ttl_days: int
         "events": store.store_events(new, run_date),
         "event_tags": store.store_event_tags(new, run_date),
         "seen_entries": seen.seen_entries(new, now, ttl_days),
-        "results": metrics.feed_run_result(flagged),
+        "results": metrics.run_times(metrics.feed_run_result(flagged), now, now),
     }

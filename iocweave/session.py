@@ -48,10 +48,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(work_dir(spark, "checkpoint"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give heavy row-wise work all cores when the input has fewer splits than cores (one small file, say).
-
-    At scale a scan has more splits than cores and this does nothing.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Deal rows to ``parts`` tasks before heavy row-wise work; without it they stay as the scan splits them."""
+    return df if parts is None else df.repartition(parts, key)

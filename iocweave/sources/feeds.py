@@ -251,8 +251,7 @@ def flatten_threatfox(envelopes: DataFrame, now: Column) -> DataFrame:
 
 
 def flatten_csv(rows: DataFrame, now: Column) -> DataFrame:
-    """One row per CSV line of a known type. Lines of one file keep the order of ``line_pos`` if it is there."""
-    line = F.col("line_pos") if "line_pos" in rows.columns else F.lit(0)
+    """One row per CSV line of a known type; ``fetch_id`` orders the lines."""
     value, ioc_type = strip(_text(F.col("value"))), strip(F.lower(_text(F.col("type"))))
     tags = F.filter(F.transform(F.split(_text(F.col("tags")), ","), strip), lambda t: t != "")
     fields = ["value", "type", "threat_level", "description", "tags"]
@@ -270,7 +269,7 @@ def flatten_csv(rows: DataFrame, now: Column) -> DataFrame:
             F.concat(F.lit("csv:"), value).alias("pulse_id"),
             empty_strings().alias("attack_techniques"),
             F.to_json(F.struct(*fields)).alias("raw"),
-            ord_struct("csv", None, line, F.lit(0), F.lit(0)).alias("ord"),
+            ord_struct("csv", None, F.lit(0), F.lit(0), F.lit(0)).alias("ord"),
         )
         .filter("value <> '' AND ioc_type IS NOT NULL")
     )

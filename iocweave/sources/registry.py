@@ -41,9 +41,10 @@ for _feed in (
     register_feed(_feed)
 
 
-def _options(feed: Feed) -> dict[str, str]:
+def _options(feed: Feed, multi_line: bool = False) -> dict[str, str]:
     if feed.fmt == "csv":
-        return {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
+        # A field with line breaks keeps a file from being split: one task then reads it whole.
+        return {"header": "true", "quote": '"', "escape": '"', "multiLine": str(multi_line).lower()}
     return {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
 
 
@@ -51,24 +52,38 @@ def _schema(feed: Feed) -> str:
     return feed.schema if feed.fmt == "csv" else feed.schema + ", _corrupt_record string"
 
 
+def _place() -> list[Column]:
+    """File and block of a landed line. Landed files are named so that they sort in fetch order; the whole path keeps
+    files of one name in two folders apart."""
+    block = F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
+    return [F.col("_metadata.file_name"), F.col("_metadata.file_path"), block]
+
+
 def _with_fetch_id(df: DataFrame) -> DataFrame:
-    # Landed files are named so that they sort in fetch order.
-    return df.withColumn("fetch_id", F.col("_metadata.file_name"))
+    """An id for each landed line that sorts by file and then by place in the file.
+
+    Rows of a block are numbered by their place in the task that reads it, which grows along the block.
+    """
+    row = F.lpad((F.monotonically_increasing_id() % (1 << 33)).cast("string"), 10, "0")
+    return df.withColumn("fetch_id", F.concat_ws("#", *_place(), row))
+
 
+def _with_stream_id(df: DataFrame) -> DataFrame:
+    """The same for streams, where rows cannot be numbered: a digest of the line tells lines of a block apart."""
+    # A digest over JSON text, because VARIANT columns have no hash.
+    digest = F.hex(F.xxhash64(F.to_json(F.struct(*df.columns))))
+    return df.withColumn("fetch_id", F.concat_ws("#", *_place(), digest))
 
-def read_feed(spark: SparkSession, name: str, path: str, now: Column) -> DataFrame | None:
-    """Batch read of one landed feed; None if nothing has landed."""
+
+def read_feed(spark: SparkSession, name: str, path: str, now: Column, multi_line: bool = False) -> DataFrame | None:
+    """Batch read of one landed feed; None if nothing has landed. ``multi_line``: CSV fields may hold line breaks."""
     feed = FEEDS[name]
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.globStatus(hadoop_path):
         return None
-    landed = spark.read.format(feed.fmt).options(**_options(feed)).schema(_schema(feed)).load(path)
-    landed = _with_fetch_id(landed)
-    if feed.fmt == "csv":
-        # Lines have no position of their own; this id grows along a file.
-        landed = landed.withColumn("line_pos", F.monotonically_increasing_id())
-    return feed.flatten(landed, now)
+    landed = spark.read.format(feed.fmt).options(**_options(feed, multi_line)).schema(_schema(feed)).load(path)
+    return feed.flatten(_with_fetch_id(landed), now)
 
 
 def read_feeds(spark: SparkSession, paths: dict[str, str], now: Column) -> DataFrame:
@@ -86,7 +101,7 @@ def stream_feed(spark: SparkSession, name: str, path: str, now: Column, files_pe
         .schema(_schema(feed))
         .load(path)
     )
-    return feed.flatten(_with_fetch_id(landed), now)
+    return feed.flatten(_with_stream_id(landed), now)
 
 
 @dataclass(frozen=True)

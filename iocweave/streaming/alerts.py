@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -39,7 +39,10 @@ def stream_alert_enrich(
 
 
 def stream_hourly_metrics(enriched: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Enriched, matched and notified alerts per hour of ``enriched_at`` (TIMESTAMP); later rows than ``delay`` are dropped."""
+    """Enriched, matched and notified alerts per hour of ``enriched_at`` (TIMESTAMP); later rows than ``delay`` are dropped.
+
+    In append mode an hour comes out once it is closed; ``write_hourly`` keeps open hours up to date too.
+    """
     return (
         enriched.withWatermark("enriched_at", delay)
         .groupBy(F.window("enriched_at", "1 hour"))
@@ -50,3 +53,29 @@ def stream_hourly_metrics(enriched: DataFrame, delay: str = "2 hours") -> DataFr
         )
         .select(F.col("window.start").alias("hour"), "enriched", "matched", "notified")
     )
+
+
+HOURLY = "hour timestamp, enriched bigint, matched bigint, notified bigint"
+
+
+def write_hourly(enriched: DataFrame, out_path: str, checkpoint: str, delay: str = "2 hours") -> StreamingQuery:
+    """Every hour that a micro-batch changed, in the folder of the batch; ``read_hourly`` gives the latest counts."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    return (
+        stream_hourly_metrics(enriched, delay)
+        .writeStream.outputMode("update")
+        .foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_hourly(spark: SparkSession, out_path: str) -> DataFrame:
+    """The latest counts of each hour, open ones included."""
+    log = spark.read.schema(HOURLY + ", batch_id bigint").parquet(out_path)
+    latest = F.max_by(F.struct("enriched", "matched", "notified"), "batch_id")
+    return log.groupBy("hour").agg(latest.alias("c")).select("hour", "c.*")

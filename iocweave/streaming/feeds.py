@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -42,12 +40,14 @@ def ingest_batch(
     """
     spark = rows.sparkSession
     batch = dedup.dedup_keep_first(dedup.normalise_rows(rows)).persist()
-    log = _live_partitions(read_seen(spark, seen_path, batch_id), now)
-    fresh = batch.join(seen.hits(batch, log, now), dedup.KEY, "left_anti")
-    fresh.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-    accepted = spark.read.parquet(f"{out_path}/batch_id={batch_id}")
-    write_seen(seen.seen_entries(accepted, now, ttl_days), seen_path, batch_id)
-    batch.unpersist()
+    try:
+        log = _live_partitions(read_seen(spark, seen_path, batch_id), now)
+        fresh = batch.join(seen.hits(batch, log, now), dedup.KEY, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        accepted = spark.read.parquet(f"{out_path}/batch_id={batch_id}")
+        write_seen(seen.seen_entries(accepted, now, ttl_days), seen_path, batch_id)
+    finally:
+        batch.unpersist()
 
 
 def stream_feed_ingest(
@@ -67,26 +67,40 @@ def stream_feed_ingest(
     )
 
 
-def _latest_per_key(batches):
-    """Per Arrow batch, one row per key, at its latest time."""
-    for batch in batches:
-        table = pa.Table.from_batches([batch]).group_by(["value", "ioc_type"]).aggregate([("ts", "max")])
-        out = table.rename_columns(["value", "ioc_type", "ts"]).combine_chunks()
-        for chunk in out.select(["value", "ioc_type", "ts"]).to_batches():
-            yield pa.record_batch(
-                [chunk.column(0), chunk.column(1), pc.cast(chunk.column(2), batch.schema.field("ts").type)],
-                names=["value", "ioc_type", "ts"],
-            )
+def dedup_batch(sightings: DataFrame, out_path: str, batch_id: int, ttl_days: int = seen.TTL_DAYS) -> None:
+    """Write the sightings of one micro-batch that count as new, given those of earlier batches.
 
+    A key is held back until one TTL after its last accepted time, so of the log only the keys of the batch matter.
+    The folder of the batch is written whole, and later batches are not read, so a repeated batch gives the same rows.
+    """
+    spark = sightings.sparkSession
+    rows = sightings.select(*dedup.KEY, F.col("ts").cast("timestamp_ntz").alias("ts"))
+    log = spark.read.schema(ACCEPTED + ", batch_id bigint").parquet(out_path).filter(F.col("batch_id") < batch_id)
+    known = log.join(rows.select(*dedup.KEY).distinct(), dedup.KEY, "left_semi")
+    last = known.groupBy(*dedup.KEY).agg(F.max("ts").alias("last"))
+    accepted = seen.ttl_accept_sequence(seen.after_last(rows, last, ttl_days), ttl_days)
+    accepted.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+
+ACCEPTED = "value string, ioc_type string, ts timestamp_ntz"
 
-def stream_dedup_ttl(sightings: DataFrame, ttl_days: int = seen.TTL_DAYS) -> DataFrame:
-    """Event-time dedup of a stream of (value, ioc_type, ts TIMESTAMP).
 
-    A key is held for about twice the watermark delay, so the delay is half the TTL; rows later than that are
-    lost. Rows of one key in one batch collapse in their task before the exchange, which changes nothing in the
-    result: the operator accepts at most one of them. The latest is kept, because an earlier one may be too late.
+def stream_dedup_ttl(sightings: DataFrame, out_path: str, checkpoint: str, ttl_days: int = seen.TTL_DAYS) -> StreamingQuery:
+    """Event-time dedup of a stream of (value, ioc_type, ts): accepted sightings land in ``out_path``.
+
+    The rule is that of ``seen.ttl_accept_sequence``. Within a batch the order of arrival does not matter; a sighting
+    that arrives in a later batch than an accepted one is new only from one TTL after it.
     """
-    rows = sightings.select("value", "ioc_type", "ts")
-    combined = rows.mapInArrow(_latest_per_key, "value string, ioc_type string, ts timestamp")
-    delay = f"{ttl_days * 12} hours"
-    return combined.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["value", "ioc_type"])
+    spark = sightings.sparkSession
+    # An empty first folder, so that the log can be read before anything was accepted.
+    spark.createDataFrame([], ACCEPTED).write.mode("overwrite").parquet(f"{out_path}/batch_id=-1")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        dedup_batch(batch, out_path, batch_id, ttl_days)
+
+    return (
+        sightings.writeStream.foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

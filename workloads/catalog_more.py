@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from iocweave.functions import base, norm
-from iocweave.operators import dedup, enrich, external, extract, match, metrics, score, seen
-from iocweave.plans import ingest
+from iocweave.operators import dedup, enrich, external, extract, match, metrics, score, seen, store
+from iocweave.plans import enrichment, ingest
 from iocweave.session import work_dir
 from iocweave.sources import alerts as A
+from iocweave.sources import registry
 from iocweave.streaming import alerts as stream_alerts
 from iocweave.streaming import feeds as stream_feeds
 from workloads import derive as D
 from workloads import sqlbase as S
 from workloads.catalog import (
-    ALL_TAGS, EXT, HEADER, NOW, RUN_COLUMNS, RUNS, candidates, csv, enriched, feed_runs, parsed, query, results,
+    ALL_TAGS, ORACLES, EXT, HEADER, NOW, RUN_COLUMNS, RUNS, candidates, csv, enriched, feed_runs, parsed, query, results,
 )
 
 # --- dedup and the seen set ----------------------------------------------------------------------------------
@@ -515,14 +516,13 @@ def stream_feed_ingest(spark, d):
     return spark.read.parquet(f"{root}/out").select("value", "ioc_type")
 
 
-@query("stream_dedup_ttl", f"SELECT DISTINCT {D.ip('user_id')} AS value, event_type AS ioc_type FROM events")
+@query("stream_dedup_ttl", S.with_(ACCEPTED, "SELECT * FROM acc", recursive=True))
 def stream_dedup_ttl(spark, d):
+    """The history is several times as long as the TTL."""
     root = work_dir(spark, "stream-dedup")
-    rows = event_stream(spark, d).select(F.expr(D.ip("user_id")).alias("value"), F.col("event_type").alias("ioc_type"), F.col("ts").cast("timestamp").alias("ts"))
-    # The history is shorter than the TTL, so both rules accept each key once.
-    out = stream_feeds.stream_dedup_ttl(rows, 60)
-    finish(out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    return spark.read.schema("value string, ioc_type string").parquet(f"{root}/out")
+    rows = event_stream(spark, d).select(F.expr(D.ip("user_id")).alias("value"), F.lit("ip-dst").alias("ioc_type"), "ts")
+    finish(stream_feeds.stream_dedup_ttl(rows, f"{root}/out", f"{root}/checkpoint", 4))
+    return spark.read.schema(stream_feeds.ACCEPTED).parquet(f"{root}/out").select("value", "ioc_type", "ts")
 
 
 @query("stream_alert_enrich", S.with_(EXT, ENRICHED_SQL))
@@ -537,14 +537,66 @@ def stream_alert_enrich(spark, d):
 @query(
     "stream_hourly_metrics",
     "SELECT date_trunc('hour', ts) AS hour, count(*) AS enriched, count(*) FILTER (event_type IN ('error', 'view')) AS matched, count(*) FILTER (event_type = 'error') AS notified "
-    "FROM events GROUP BY 1 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "FROM events GROUP BY 1",
 )
 def stream_hourly_metrics(spark, d):
-    """Hours that the watermark has closed."""
+    """Every hour, those that the watermark has not closed included."""
     root = work_dir(spark, "stream-hourly")
     rows = event_stream(spark, d).select(
         F.col("ts").cast("timestamp").alias("enriched_at"), F.col("event_type").isin("error", "view").alias("matched"), (F.col("event_type") == "error").alias("notified")
     )
-    out = stream_alerts.stream_hourly_metrics(rows).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
-    finish(out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
-    return spark.read.schema("hour timestamp_ntz, enriched bigint, matched bigint, notified bigint").parquet(f"{root}/out")
+    finish(stream_alerts.write_hourly(rows, f"{root}/out", f"{root}/checkpoint"))
+    return stream_alerts.read_hourly(spark, f"{root}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+# --- landed files --------------------------------------------------------------------------------------------
+
+def landed_iocs(spark, d):
+    """The derived envelopes as JSON lines, many to a file, read back by the registry."""
+    root = work_dir(spark, "landed")
+    made = {
+        "otx": D.otx_envelopes(spark, d), "abusech_malware": D.malware_envelopes(spark, d),
+        "abusech_url": D.url_envelopes(spark, d), "threatfox": D.threatfox_envelopes(spark, d),
+    }
+    for name, envelopes in made.items():
+        envelopes.drop("fetch_id").write.json(f"{root}/{name}")
+    return registry.read_feeds(spark, {name: f"{root}/{name}" for name in made}, D.now())
+
+
+@query(
+    "landed_json_ingest",
+    S.with_(S.IOCS, "SELECT source_feed, ioc_type, count(*) AS n, count(DISTINCT value) AS n_values, sum(confidence)::BIGINT AS confidence, min(first_seen) AS first_seen, count(*) AS n_places FROM iocs GROUP BY ALL"),
+)
+def landed_json_ingest(spark, d):
+    """``n_places`` counts distinct places: every row of every landed line has its own."""
+    return landed_iocs(spark, d).groupBy("source_feed", "ioc_type").agg(
+        F.count("*").alias("n"), F.countDistinct("value").alias("n_values"), F.sum("confidence").alias("confidence"),
+        F.min("first_seen").alias("first_seen"), F.countDistinct("ord").alias("n_places"),
+    )
+
+
+@query("landed_relationships", ORACLES["ioc_relationships"])
+def landed_relationships(spark, d):
+    return metrics.ioc_relationships(dedup.normalise_rows(landed_iocs(spark, d)))
+
+
+@query(
+    "pipeline_end_to_end",
+    S.with_(f"{S.FLAGGED},{S.CANDIDATES}", """SELECT c.value, any_value(f.ioc_type) AS ioc_type, any_value(f.source_feed) AS source_feed, any_value(f.threat_level) AS threat_level,
+  any_value(f.confidence) AS confidence, count(DISTINCT c.alert_key) AS n_alerts
+FROM (SELECT DISTINCT alert_key, value FROM cand) c
+JOIN (SELECT * FROM flagged WHERE is_new QUALIFY row_number() OVER (PARTITION BY value ORDER BY feed_rank, sub_rank, fetch_id, pos, emit_rank) = 1) f ON f.value = c.value
+GROUP BY c.value"""),
+)
+def pipeline_end_to_end(spark, d):
+    """Feeds to the store that the library writes, then alerts against that store, with the values that it keeps."""
+    root = work_dir(spark, "store")
+    stored = ingest.run_feeds(D.all_iocs(spark, d), D.seen_table(spark, d), D.now())["attributes"]
+    store.write_by_feed(stored, root)
+    attributes = spark.read.parquet(root)
+    enriched = enrichment.enrich_cycle(D.raw_alerts(spark, d), attributes, D.now(), match_mode="stored")["enriched_alerts"]
+    matched = enriched.select("alert_key", F.explode("matched_iocs").alias("m")).select("alert_key", "m.*")
+    return matched.groupBy("value").agg(
+        F.first("ioc_type").alias("ioc_type"), F.first("source_feed").alias("source_feed"), F.first("threat_level").alias("threat_level"),
+        F.first("confidence").alias("confidence"), F.countDistinct("alert_key").alias("n_alerts"),
+    )

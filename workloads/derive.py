@@ -20,13 +20,15 @@ def now():
     return F.lit(NOW_TEXT).cast("timestamp_ntz")
 
 
-# Tables whose rows get heavy work.
+# Tables whose rows get heavy work. Each is one small file here, so a run may ask for more tasks than its one split.
 SPREAD = {"events", "lineitem", "orders", "documents", "pages", "customer"}
+PARTS = "spark.iocweave.parts"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, df.columns[0]) if name in SPREAD else df
+    parts = spark.conf.get(PARTS, None)
+    return spread(df, df.columns[0], int(parts)) if parts and name in SPREAD else df
 
 
 def ip(k: str) -> str:
