@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iocweave.llm.common import written
+from iocweave.llm.common import same_columns, written
 from iocweave.operators.match import skew_join
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -58,12 +58,31 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.size(apart) <= 1).otherwise(shorter(a, b) | shorter(b, a))
 
 
+#: Stands for a null doc_id, before all others.
+NO_ID = str(-(2**63) - 1)
+
+
 def _position(doc_id: Column, line_no: Column) -> Column:
     """Order of lines as one number: by doc_id, a null one first, then by line."""
-    least = F.lit(-(2**63)).cast("decimal(20,0)")
-    return (F.coalesce(doc_id.cast("decimal(20,0)"), least) * F.lit(LINES_PER_TEXT).cast("decimal(11,0)") + line_no.cast("int")).cast(
-        "decimal(38,0)"
-    )
+    number = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)"))
+    return (number * F.lit(LINES_PER_TEXT).cast("decimal(11,0)") + line_no.cast("int")).cast("decimal(38,0)")
+
+
+def _place(pos: Column) -> tuple[Column, Column]:
+    """doc_id (null for none) and line_no of a position."""
+    line = F.pmod(pos, F.lit(LINES_PER_TEXT).cast("decimal(38,0)"))
+    number = ((pos - line) / F.lit(LINES_PER_TEXT).cast("decimal(11,0)")).cast("decimal(20,0)")
+    return F.when(number > F.lit(NO_ID).cast("decimal(20,0)"), number).cast("long"), line.cast("int")
+
+
+def _more_than_one(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """The ``rows`` (a written table) whose key occurs again.
+
+    The keys are a written table with a predicate, so that Spark can filter the scan of the rows by a Bloom filter of
+    them, and only rows that meet another one move.
+    """
+    often = written(rows.groupBy(key).agg(F.count("*").alias("_times")).filter("_times > 1"), name)
+    return skew_join(rows, often.filter("_times > 1").select(key), [key])
 
 
 def removed_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
@@ -73,72 +92,68 @@ def removed_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     lines are judged on the input, not on what is left. Rows that agree in doc_id and text hold the same positions, so
     they lose the same lines.
     """
-    base = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    ).withColumn("_text_hash", F.xxhash64("text"))
-    exploded = base.select("doc_id", "_text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "_line"))
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    exploded = base.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "_line"))
     listed = exploded.select("doc_id", "_text_hash", "line_no", words(F.col("_line")).alias("_w")).withColumn("n", F.size("_w"))
-    listed = listed.filter(F.col("n") >= min_words)
     k1, k2, k3 = halves(F.col("_w"), F.col("n"))
     lines = written(
-        listed.select(
+        listed.filter(F.col("n") >= min_words).select(
             "doc_id", "_text_hash", "line_no", F.xxhash64("_w").alias("h"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3")
         ),
         "lines",
     )
     distinct = lines.withColumn("pos", _position(F.col("doc_id"), F.col("line_no"))).groupBy("h").agg(
-        F.min("pos").alias("pos"), F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("k3").alias("k3")
+        F.min("pos").alias("pos"), F.count("*").alias("times"),
+        F.min("k1").alias("k1"), F.min("k2").alias("k2"), F.min("k3").alias("k3"),
     )
     distinct = written(distinct, "distinct-lines")
 
-    # Lines that share a half with another line.
-    keyed = distinct.select("h", F.explode(F.array("k1", "k2", "k3")).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("key")
-    # The written table and the predicate let Spark filter the scan of the texts by a Bloom filter of its keys.
-    candidates = skew_join(keyed, shared, ["key"]).select("h").distinct().join(distinct.select("h", "pos"), "h")
-    places = lines.withColumn("pos", _position(F.col("doc_id"), F.col("line_no"))).select("doc_id", "_text_hash", "line_no", "pos", "h")
-    candidates = written(
-        skew_join(places, candidates.select("h", F.col("pos").alias("_first")), ["h"])
-        .filter(F.col("pos") == F.col("_first"))
-        .groupBy("doc_id", "_text_hash")
-        .agg(F.collect_set(F.struct("line_no", "pos")).alias("_wanted")),
+    # Lines that share a half with another line, and their words.
+    keyed = written(distinct.select("pos", "h", F.explode(F.array("k1", "k2", "k3")).alias("key")), "halves")
+    doc, line = _place(F.col("pos"))
+    wanted = _more_than_one(keyed, "key", "shared-halves").groupBy("h").agg(F.min("pos").alias("pos"))
+    wanted = written(
+        wanted.select(doc.alias("_d"), F.struct(line.alias("line_no"), "pos", "h").alias("want"))
+        .groupBy("_d").agg(F.collect_list("want").alias("_wanted")).withColumn("_size", F.size("_wanted")),
         "candidates",
+    ).filter("_size > 0")
+    # Rows without an id are few or none; apart from them the join is on a plain column, which a Bloom filter can use.
+    found = base.filter("doc_id IS NOT NULL").join(wanted, F.col("doc_id") == F.col("_d"))
+    found = found.unionByName(base.filter("doc_id IS NULL").join(wanted.filter("_d IS NULL"), F.col("doc_id").eqNullSafe(F.col("_d"))))
+    found = found.select(F.split("text", "\n").alias("_lines"), F.explode("_wanted").alias("_want"))
+    near_lines = found.select(
+        F.col("_want.pos").alias("pos"), F.col("_want.h").alias("h"), words(F.get("_lines", F.col("_want.line_no"))).alias("w")
     )
-    texts = candidates.filter(F.size("_wanted") > 0).withColumnsRenamed({"doc_id": "_d", "_text_hash": "_h"})
-    found = base.join(
-        texts, (F.col("_text_hash") == F.col("_h")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    ).select(F.split("text", "\n").alias("_lines"), F.explode("_wanted").alias("_want"))
-    near_lines = written(
-        found.select(F.col("_want.pos").alias("pos"), words(F.get("_lines", F.col("_want.line_no"))).alias("w")).dropDuplicates(["pos"]),
-        "near-lines",
-    )
+    # Texts of one doc_id may differ: only the line that was meant has its hash.
+    near_lines = written(near_lines.filter(F.col("h") == F.xxhash64("w")).dropDuplicates(["h"]), "near-lines")
 
     # The deletion neighbourhood: at -1 the whole line, else the place of the word that is left out.
-    spots = F.sequence(F.lit(-1), F.size("w") - 1)
-    variants = near_lines.select("pos", "w", F.explode(spots).alias("at")).select(
-        F.when(F.col("at") < 0, F.xxhash64("w")).otherwise(F.xxhash64(without(F.col("w"), F.col("at")))).alias("key"), "at", "pos"
+    variants = near_lines.select("pos", "h", "w", F.explode(F.sequence(F.lit(-1), F.size("w") - 1)).alias("at")).select(
+        F.when(F.col("at") < 0, F.col("h")).otherwise(F.xxhash64(without(F.col("w"), F.col("at")))).alias("key"), "at", "pos", "h"
     )
-    variants = written(variants, "variants")
-    # Of equal variants only the earliest line matters: at the same place (replaced word), or whole against shortened.
-    by_place = variants.filter("at >= 0").groupBy("key", "at").agg(F.min("pos").alias("_at_pos"), F.max("pos").alias("_last"))
-    by_place = by_place.filter("_at_pos < _last").drop("_last")
-    by_key = variants.groupBy("key").agg(
+    # Equal variants. Of them only the earliest matters: at the same place (a word replaced), or whole against shortened.
+    equal = written(_more_than_one(written(variants, "variants"), "key", "equal-keys"), "equal-variants")
+    by_place = equal.filter("at >= 0").groupBy("key", "at").agg(F.min("pos").alias("witness"), F.count("*").alias("_n"))
+    replaced = skew_join(equal.filter("at >= 0"), by_place.filter("_n > 1").drop("_n"), ["key", "at"]).select("pos", "h", "witness")
+    by_key = equal.groupBy("key").agg(
         F.min(F.when(F.col("at") < 0, F.col("pos"))).alias("_whole"), F.min(F.when(F.col("at") >= 0, F.col("pos"))).alias("_cut")
     ).filter(F.col("_whole").isNotNull() & F.col("_cut").isNotNull())
-    replaced = skew_join(variants.filter("at >= 0"), by_place, ["key", "at"]).select("pos", F.col("_at_pos").alias("witness"))
-    moved = skew_join(variants, by_key, ["key"]).select(
-        "pos", F.when(F.col("at") < 0, F.col("_cut")).otherwise(F.col("_whole")).alias("witness")
+    moved = skew_join(equal, by_key, ["key"]).select(
+        "pos", "h", F.when(F.col("at") < 0, F.col("_cut")).otherwise(F.col("_whole")).alias("witness")
     )
-    pairs = replaced.unionByName(moved).filter("witness < pos").distinct()
+    pairs = replaced.unionByName(moved).filter("witness < pos").select("h", "witness").distinct()
     # Equal keys are not yet equal words: the edit distance decides.
-    left = near_lines.select("pos", F.col("w").alias("_a"))
+    left = near_lines.select("h", F.col("w").alias("_a"))
     right = near_lines.select(F.col("pos").alias("witness"), F.col("w").alias("_b"))
-    near = skew_join(skew_join(pairs, left, ["pos"]), right, ["witness"]).filter(within_one(F.col("_a"), F.col("_b")))
-    near = near.select("pos").distinct().withColumn("_near", F.lit(True))
+    near = skew_join(skew_join(pairs, left, ["h"]), right, ["witness"]).filter(within_one(F.col("_a"), F.col("_b")))
+    near = near.select("h").distinct().withColumn("_near", F.lit(True))
 
-    judged = distinct.select("h", F.col("pos").alias("_first")).join(near.withColumnRenamed("pos", "_first"), "_first", "left")
-    all_lines = skew_join(places, judged, ["h"])
-    return all_lines.filter(F.col("_near").isNotNull() | (F.col("pos") > F.col("_first"))).select("doc_id", "_text_hash", "line_no")
+    judged = distinct.select("h", F.col("pos").alias("_first"), "times").join(near, "h", "left")
+    judged = judged.select("h", "_first", (F.col("times") + F.when(F.col("_near"), 1).otherwise(0)).alias("_reasons"), F.col("_near"))
+    judged = written(judged.filter("_reasons > 1"), "judged").filter("_reasons > 1")
+    all_lines = skew_join(lines.select("doc_id", "_text_hash", "line_no", "h"), judged, ["h"])
+    pos = _position(F.col("doc_id"), F.col("line_no"))
+    return all_lines.filter(F.col("_near").isNotNull() | (pos > F.col("_first"))).select("doc_id", "_text_hash", "line_no")
 
 
 def dedup_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
@@ -148,10 +163,10 @@ def dedup_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     become empty. Blank lines and lines of fewer than ``min_words`` words stay.
     """
     gone = removed_lines(documents, min_words)
-    gone = gone.groupBy("doc_id", "_text_hash").agg(F.collect_set("line_no").alias("_gone"))
-    gone = gone.withColumnsRenamed({"doc_id": "_d", "_text_hash": "_h"})
-    marked = documents.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    joined = marked.join(gone, (F.col("_key") == F.col("_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in documents.columns])
+    gone = gone.groupBy("doc_id", "_text_hash").agg(F.collect_set("line_no").alias("__llm_gone"))
+    gone = gone.withColumnsRenamed({"doc_id": "__llm_id", "_text_hash": "__llm_hash"})
+    marked = documents.withColumn("__llm_key", F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("__llm_key") == F.col("__llm_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_id"))
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__llm_gone", i)), "\n")
+    text = F.when(F.col("__llm_gone").isNull(), F.col("text")).otherwise(kept)
+    return marked.join(gone, same, "left").select(*same_columns(documents, text=text))
