@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from iocweave.llm.common import chunks, rows_of, starts_of, word_hashes, words_of, written
 
-WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 128, 32, 8
+WORD_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS = 128, 128, 16
 SHAPES = ("letters", "upper", "digits", "spaces", "marks", "symbols", "bars", "lines", "distinct", "word_length", "wide")
 CONTENT = WORD_BUCKETS + len(SHAPES)
 META = SOURCE_BUCKETS + LANG_BUCKETS + 3
