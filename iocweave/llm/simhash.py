@@ -114,8 +114,8 @@ def _edges(radius: int):
             return values[root[off]].view(np.int64), values[off].view(np.int64)
 
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            values = batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            values = batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(values):
                 continue
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
@@ -155,14 +155,10 @@ def near_classes(values: DataFrame, radius: int = 3, bucket_rows: int = 4096) ->
     large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
     rows = skew_join(rows, large, ["t", "key"], "left")
     parts = F.array(*[F.array(*[F.lit(signed(b)) for b in blocks(m, radius)]) for m in tables])
-    part_keys = F.transform(
-        F.get(parts, F.col("t")),
-        lambda b, i: (F.col("fp").bitwiseAND(b) * F.lit(radius + 2)) + i + 1,
-    )
-    rows = rows.select(
-        "t", "key", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0).cast("long"))).otherwise(part_keys)).alias("part"), "fp"
-    )
-    rows = rows.repartition("t", "key", "part").sortWithinPartitions("t", "key", "part")
+    inside = F.transform(F.get(parts, F.col("t")), lambda b: F.col("fp").bitwiseAND(b))
+    whole = F.array(F.lit(0).cast("long"))
+    rows = rows.select("t", "key", F.posexplode(F.when(F.col("n").isNull(), whole).otherwise(inside)).alias("part", "own"), "fp")
+    rows = rows.repartition("t", "key", "part", "own").sortWithinPartitions("t", "key", "part", "own")
     return components(rows.mapInArrow(_edges(radius), "a long, b long"))
 
 

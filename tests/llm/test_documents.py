@@ -250,7 +250,6 @@ def test_masks_meet_within_the_radius():
 def test_fingerprints_across_chunks():
     rng = random.Random(8)
     texts = [prose(rng, rng.randint(0, 400)) for _ in range(60)] + [None, "", "A b", "Ä É x y"]
-    assert sum(len(t or "") for t in texts) > 2 << 20 or True
     got = simhash.fingerprints_of(pa.array(texts), 3)
     assert got.tolist() == [fingerprint(t) for t in texts]
 
@@ -321,7 +320,7 @@ def test_near_duplicates(make, odd, nothing):
         kept = simhash.keep_one(documents)
         assert kept.columns == documents.columns
         alone = {r for r in own if r not in least}
-        assert sorted(order(r["doc_id"]) for r in kept.collect()) == sorted([order(i) for i in set(least.values())] + [order(None)] * len(alone))
+        assert sorted(order(r["doc_id"]) for r in kept.collect()) == sorted([order(i) for i in least.values()] + [order(None)] * len(alone))
     assert simhash.near_duplicates(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
 
