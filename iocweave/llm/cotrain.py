@@ -2,8 +2,10 @@
 
 The content view sees hashed words and shares of character classes, the metadata view sees source, language and size.
 A logistic classifier of each view starts from labelled documents. In every round each one scores all unlabelled
-documents, and its most confident ones of either class join the training set of the other. At the end both are
-calibrated on labelled documents kept apart, and their evidence is added.
+documents, and confident ones of either class join the training set of the other, in the proportion that the classes
+have. They are drawn by a hash among all that are confident enough: the very surest ones are all alike, and would teach
+the other view what is odd about them. At the end both are calibrated on labelled documents kept apart, and their
+evidence is added.
 """
 
 from __future__ import annotations
@@ -149,12 +151,14 @@ def _scores(model: Model):
     return run
 
 
-def train(views: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int = 3, exchange: int = 200) -> Model:
+def train(
+    views: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int = 3, exchange: int = 400, confidence: float = 0.9
+) -> Model:
     """Co-train on at most ``sample`` labelled documents, chosen by a hash of doc_id; a quarter calibrates.
 
-    In each of ``rounds`` all unlabelled documents are scored, and each view hands the other its ``exchange`` most
-    confident ones of each class, ties to the smaller doc_id. Without labelled documents of both kinds every document
-    gets even odds.
+    In each of ``rounds`` all unlabelled documents are scored, and each view hands the other ``exchange`` documents (twice
+    and three times as many in later rounds) to which it gives at least ``confidence``, divided as the labels are, in
+    order of a hash of doc_id. Without labelled documents of both kinds every document gets even odds.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
@@ -169,6 +173,8 @@ def train(views: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int =
     if len(set(y[~held].tolist())) < 2:
         return Model(Logistic(np.zeros(CONTENT + 1)), Logistic(np.zeros(META + 1)), 0.0)
     unlabelled = written(views.filter(F.col("doc_id").isNotNull()).join(known, "doc_id", "left_anti"), "unlabelled")
+    share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6))
+    edge = float(np.log(confidence / (1 - confidence)))
     sets = {"content": (content[~held], y[~held]), "meta": (meta[~held], y[~held])}
     columns = ["doc_id", "content", "meta"]
     taken: dict[str, set[int]] = {"content": set(), "meta": set()}
@@ -179,9 +185,10 @@ def train(views: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int =
         scored = unlabelled.select(*columns, _scores(model)("content", "meta").alias("s"))
         for view, other in (("content", "meta"), ("meta", "content")):
             sure = []
-            for label, order in ((0, F.asc), (1, F.desc)):
-                best = scored.orderBy(order(f"s.{view}"), "doc_id").limit(exchange * (turn + 1))
-                sure += [(r, label) for r in best.select(*columns).collect()]
+            odds = F.col(f"s.{view}")
+            for label, confident, part in ((0, odds <= -edge, 1 - share), (1, odds >= edge, share)):
+                drawn = scored.filter(confident).orderBy(F.xxhash64("doc_id"), "doc_id").limit(round(exchange * part * (turn + 1)))
+                sure += [(r, label) for r in drawn.select(*columns).collect()]
             fresh = []
             for r, label in sure:
                 if r["doc_id"] not in taken[other]:
@@ -192,7 +199,6 @@ def train(views: DataFrame, labels: DataFrame, sample: int = 4000, rounds: int =
                 sets[other] = (
                     np.concatenate([sets[other][0], x]), np.concatenate([sets[other][1], [float(v) for _, v in fresh]])
                 )
-    share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     return Model(
         calibrate(model.content, content[held], y[held]), calibrate(model.meta, meta[held], y[held]),
         float(np.log(share / (1 - share))),

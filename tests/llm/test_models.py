@@ -145,7 +145,7 @@ def test_cotraining_held_out(spark):
     df, labels = labelled(spark, 900, 3)
     known = spark.createDataFrame(labels[:150] + [(None, 1), (3, None), (10**6, 0)], "doc_id long, quality int")
     df = df.withColumns({c: F.lit("own") for c in ("content", "meta", "score", "kept", "label", "y")})
-    out = {r["doc_id"]: r for r in cotrain.classify(df, known, sample=120, exchange=30).collect()}
+    out = {r["doc_id"]: r for r in cotrain.classify(df, known, sample=120, exchange=60).collect()}
     rest = labels[150:]
     assert len(out) == 900
     assert np.mean([out[i]["kept"] == bool(y) for i, y in rest]) > 0.97
