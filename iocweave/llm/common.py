@@ -93,3 +93,12 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
 def starts_of(counts: np.ndarray) -> np.ndarray:
     """Where each of the consecutive runs starts, and the total at the end."""
     return np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
+
+
+def gather(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit values of ``parts[c]`` for each code, end to end, and where those of each code start (and end)."""
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    flat, first = np.frombuffer(b"".join(parts), "<u4"), starts_of(size)
+    at = starts_of(size[codes])
+    spots = np.arange(at[-1]) + np.repeat(first[codes] - at[:-1], size[codes])
+    return flat[spots], at

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from iocweave.llm.common import chunks, rows_of
+from iocweave.llm.common import chunks, gather, rows_of
 
 #: Words held per worker and generation; a word that is not held is encoded again.
 CACHE_WORDS = 400_000
@@ -108,10 +108,11 @@ class WordEncoder:
             split = pc.ascii_split_whitespace(pc.fill_null(rows_of(texts, part).cast(pa.large_string()), ""))
             coded = split.flatten().dictionary_encode()
             ids = self._lookup(coded.dictionary.cast(pa.large_binary()).to_pylist())
-            codes = coded.indices.to_pylist()
+            values, starts = gather(ids, np.asarray(coded.indices))
             at = np.asarray(split.offsets)
-            at = (at - at[0]).tolist() if len(at) else [0]
-            out += [b"".join([ids[c] for c in codes[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+            ends = (4 * starts[at - at[0]]).tolist() if len(at) else [0]
+            raw = values.tobytes()
+            out += [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         return out
 
 
