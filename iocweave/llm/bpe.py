@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iocweave.llm.common import chunks, rows_of, starts_of
+from iocweave.llm.common import chunks, gather, rows_of, starts_of
 
 # Fixed value: the pattern that cuts a text into words before any merge.
 PRETOKENS = regex.compile(
@@ -251,39 +251,45 @@ class SpeculativeBpe:
             at = (at - at[0]).tolist() if len(at) else [0]
             hard = loose.to_numpy(zero_copy_only=False)[codes]
             spaced = self._units([" " + w for w in names])
-            firsts, whole = {}, []
-            for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-                if hard[a:b].any():
-                    whole.append(i)
-                elif b > a:
-                    firsts[names[codes[a]]] = None
-            opened = dict(zip(firsts, self._units(list(firsts)), strict=True))
+            hard = np.concatenate([[0], np.cumsum(hard)])
+            whole = [i for i, (a, b) in enumerate(zip(at, at[1:], strict=False)) if hard[b] > hard[a]]
+            # The first piece of a text has no space before it, and whole texts take the place of all their pieces.
+            first = [c for c in dict.fromkeys(codes[a] for a, b in zip(at, at[1:], strict=False) if b > a)]
+            opened = {c: len(names) + k for k, c in enumerate(first)}
+            parts = spaced + self._units([names[c] for c in first])
             slow = {}
             for i in whole:
-                joined = []
-                for piece, special in self._pieces(held[i].as_py()):
-                    if special is not None:
-                        joined.append(np.array([special], "<i4").tobytes())
-                    elif piece:
-                        cut = PRETOKENS.findall(piece)
-                        distinct = list(set(cut))
-                        ids = dict(zip(distinct, self.words([w.encode() for w in distinct]), strict=True))
-                        joined.append(np.array([t for w in cut for t in ids[w]], "<i4").tobytes())
-                slow[i] = b"".join(joined)
-            codes = codes.tolist()
+                slow[i] = len(parts)
+                parts.append(self._whole(held[i].as_py()))
+            drawn = []
             for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                 if i in slow:
-                    ids = slow[i]
+                    drawn.append(np.array([slow[i]]))
                 elif b > a:
-                    ids = b"".join([opened[names[codes[a]]], *[spaced[c] for c in codes[a + 1 : b]]])
+                    drawn.append(np.concatenate([[opened[codes[a]]], codes[a + 1 : b]]))
                 else:
-                    ids = b""
-                out.append(ids)
-                lengths.append(len(ids) // 4)
-        flat = np.frombuffer(b"".join(out), "<i4")
-        offsets = starts_of(np.array(lengths, np.int64))
+                    drawn.append(np.zeros(0, np.int64))
+            values, starts = gather(parts, np.concatenate(drawn).astype(np.int64) if drawn else np.zeros(0, np.int64))
+            ends = starts[starts_of(np.fromiter(map(len, drawn), np.int64, len(drawn)))]
+            out.append(values)
+            lengths.append(np.diff(ends))
+        flat = np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
+        offsets = starts_of(np.concatenate(lengths)) if lengths else np.zeros(1, np.int64)
         return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat, pa.int32()))
 
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that is cut as a whole."""
+        joined = []
+        for piece, special in self._pieces(text):
+            if special is not None:
+                joined.append(np.array([special], "<i4").tobytes())
+            elif piece:
+                cut = PRETOKENS.findall(piece)
+                distinct = list(set(cut))
+                ids = dict(zip(distinct, self.words([w.encode() for w in distinct]), strict=True))
+                joined.append(np.array([t for w in cut for t in ids[w]], "<i4").tobytes())
+        return b"".join(joined)
+
     def decode(self, ids: pa.Array) -> pa.Array:
         """Texts of lists of ids, special tokens included; bytes that are no UTF-8 become replacement characters, and
         an id that the vocabulary lacks stands for nothing."""
