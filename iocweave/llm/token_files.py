@@ -45,22 +45,18 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("an id needs more than 60 bits")
-    width = np.zeros(n, np.int64)
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = (ids >> np.uint64(shift)) > 0
-        big &= (ids >> (width.astype(np.uint64) + np.uint64(shift))) > 0
-        width += np.where(big, shift, 0)
-    width += ids > 0
+    # Bit lengths: the exponent of a double is exact below 2**53.
+    high = (ids >> np.uint64(30)).astype(np.float64)
+    low = (ids & np.uint64((1 << 30) - 1)).astype(np.float64)
+    width = np.where(high > 0, np.frexp(high)[1] + 30, np.frexp(low)[1]).astype(np.int8)
     # For each position the best selector: grow a window and keep those whose widest id still fits.
-    best = np.full(n, 15)
+    best = np.full(n, 15, np.int8)
     widest, k = width.copy(), 1
-    order = [s for s in range(15, -1, -1)]
-    for s in order[1:]:
+    for s in range(14, -1, -1):
         want = int(COUNTS[s])
         while k < want:  # window maxima, doubling where possible
             step = min(k, want - k)
-            tail = np.concatenate([widest[step:], np.zeros(step, np.int64)])[:n]
-            widest = np.maximum(widest, tail)
+            widest[:-step] = np.maximum(widest[:-step], widest[step:]) if step < n else widest[:-step]
             k += step
         fits = widest <= BITS[s]
         best[fits] = s
