@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from iocweave.llm.common import chunks, gather, rows_of
 
 #: Words held per worker and generation; a word that is not held is encoded again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: ASCII letters, then marks; an apostrophe may belong to letters after it.
 LETTERS_MARKS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -42,14 +42,16 @@ class WordEncoder:
 
     def _by_library(self, words: list[bytes]) -> list[bytes]:
         """Little-endian ids of words without special tokens, several hundred to a text."""
-        parts = [words[at : at + 500] for at in range(0, len(words), 500)]
-        texts = [self.mark.join(w.decode() for w in part) for part in parts]
         out: list[bytes] = []
-        for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(encoding.ids, "<u4")
-            cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            raw = ids.tobytes()
-            out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
+        # Encodings hold far more than ids, so only a few thousand words are encoded at once.
+        for start in range(0, len(words), 10_000):
+            stop = min(start + 10_000, len(words))
+            texts = [self.mark.join(w.decode() for w in words[at : min(at + 500, stop)]) for at in range(start, stop, 500)]
+            for encoding in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                ids = np.array(encoding.ids, "<u4")
+                cuts = (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True)]
         return out
 
     def _ids(self, words: list[bytes]) -> list[bytes]:

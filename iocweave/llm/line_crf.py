@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from iocweave.llm.common import chunks, rows_of, same_columns, starts_of, words_of
 
+#: Texts are described in pieces of about so many bytes: a line's features take some forty times its own size.
+PIECE_BYTES = 1 << 20
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 FEATURES = (
@@ -251,7 +253,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = 1500, most_lines:
     @F.arrow_udf("struct<features: array<array<double>>, repeated: array<boolean>>")
     def measure(texts: pa.Array) -> pa.Array:
         out = []
-        for part in chunks(texts):
+        for part in chunks(texts, PIECE_BYTES):
             lines = describe(rows_of(texts, part))
             at = starts_of(lines.per_text).tolist()
             for a, b in zip(at, at[1:], strict=False):
@@ -280,7 +282,7 @@ def verdict(text: Column, field: Field, min_share: float = 0.5) -> Column:
     @F.arrow_udf(RESULT)
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for part in chunks(texts, 4 << 20):
+        for part in chunks(texts, PIECE_BYTES):
             lines = describe(rows_of(texts, part))
             content = viterbi(field, lines.features, lines.per_text) == 1
             n = lines.base["n_words"]
