@@ -3,8 +3,8 @@
 Each task looks at the windows of a batch of documents. Of equal windows in a batch only the least document can be
 free of an earlier one, so one entry per window and batch goes on, and the others are marked at once; a window that
 stands in a third of all documents sends as many entries as there are batches. Entries meet by hash in buckets, where
-all but the least document are marked. Marks go back to their documents, where overlapping windows merge into maximal
-intervals, which are removed.
+all but the least document are marked. Marks go back to their documents by parts of the corpus, and there overlapping
+windows merge into maximal intervals, which are removed.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from iocweave.llm.common import chunks, rows_of, starts_of, word_hashes, words_o
 BASE_KEY, BASE_BUCKET, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9
 #: A bucket keeps 56 bits of the key; which bucket it is adds more.
 KEY_BITS = 56
-ENTRY_SCHEMA = "bucket long, doc_id long, keys binary"
+RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept_text string"
+ENTRY_SCHEMA = "bucket long, part long, keys binary"
 
 
 def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,14 +78,32 @@ def unpack_entries(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ids, counts.astype(np.int64)), keys.view("<u8").ravel()
 
 
-def _marks(docs: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.argsort(docs, kind="stable")
-    docs, keys = docs[order], keys[order]
-    ids, first = np.unique(docs, return_index=True)
-    return ids.tolist(), [part.astype("<u8").tobytes() for part in np.split(keys, first[1:])] if len(ids) else []
+def part_of(docs: np.ndarray, parts: int) -> np.ndarray:
+    """The part that Spark's ``pmod(xxhash64(doc_id), parts)`` gives."""
+    ids, back = np.unique(docs, return_inverse=True)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(i.to_bytes(8, "little", signed=True), 42) for i in ids.tolist()), np.uint64, len(ids))
+    return (hashes.view(np.int64) % parts)[back]
 
 
-def _scan(window: int, buckets: int, batch_bytes: int):
+def _runs(labels: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of equal labels starts and ends."""
+    if not len(labels):
+        return []
+    cuts = (np.flatnonzero(np.diff(labels)) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, len(labels)], strict=True))
+
+
+def _marks(docs: np.ndarray, keys: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """Marked keys of the documents of each part."""
+    part = part_of(docs, parts)
+    by = np.lexsort((docs, part))
+    docs, keys, part = docs[by], keys[by], part[by]
+    runs = _runs(part)
+    return [int(part[a]) for a, _ in runs], [pack_entries(docs[a:b], keys[a:b]) for a, b in runs]
+
+
+def _scan(window: int, buckets: int, parts: int, batch_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -102,53 +122,68 @@ def _scan(window: int, buckets: int, batch_bytes: int):
                 head[1:] = (key[1:] != key[:-1]) | (spread[1:] != spread[:-1])
                 later = docs != docs[np.flatnonzero(head)][np.cumsum(head) - 1]
                 bucket = bucket_of(spread, buckets)
-                marked, blobs = _marks(docs[later], key[later])
+                marked, blobs = _marks(docs[later], key[later], parts)
                 out_bucket = [m % buckets for m in marked]
-                out_doc: list[int | None] = list(marked)
+                out_part: list[int | None] = list(marked)
                 docs, key, bucket = docs[head], key[head], bucket[head]
                 by = np.lexsort((docs, bucket))
                 docs, key, bucket = docs[by], key[by], bucket[by]
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
+                for a, b in _runs(bucket):
                     out_bucket.append(int(bucket[a]))
-                    out_doc.append(None)
+                    out_part.append(None)
                     blobs.append(pack_entries(docs[a:b], key[a:b]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_bucket, pa.int64()), pa.array(out_doc, pa.int64()), pa.array(blobs, pa.binary())],
-                    ["bucket", "doc_id", "keys"],
+                    [pa.array(out_bucket, pa.int64()), pa.array(out_part, pa.int64()), pa.array(blobs, pa.binary())],
+                    ["bucket", "part", "keys"],
                 )
 
     return run
 
 
-def _meet(group: pa.Table) -> pa.Table:
-    """Marks of a bucket: every entry whose window has one with a smaller doc_id. Marks made before pass through."""
-    docs, keys, out_doc, out_keys = [], [], [], []
-    for doc, blob in zip(group.column("doc_id").to_pylist(), group.column("keys").to_pylist(), strict=True):
-        if doc is None:
-            d, k = unpack_entries(blob)
-            docs.append(d)
-            keys.append(k)
-        else:
-            out_doc.append(doc)
-            out_keys.append(blob)
-    if docs:
-        d, k = np.concatenate(docs), np.concatenate(keys)
-        by = np.lexsort((d, k))
-        d, k = d[by], k[by]
-        head = np.ones(len(k), bool)
-        head[1:] = k[1:] != k[:-1]
-        later = d != d[np.flatnonzero(head)][np.cumsum(head) - 1]
-        ids, blobs = _marks(d[later], k[later])
-        out_doc += ids
-        out_keys += blobs
-    return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "keys": pa.array(out_keys, pa.binary())})
+def _meet(parts: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Marks of a bucket: every entry whose window has one with a smaller doc_id. Marks made before pass through."""
+        docs, keys, out_part, out_keys = [], [], [], []
+        for part, blob in zip(group.column("part").to_pylist(), group.column("keys").to_pylist(), strict=True):
+            if part is None:
+                d, k = unpack_entries(blob)
+                docs.append(d)
+                keys.append(k)
+            else:
+                out_part.append(part)
+                out_keys.append(blob)
+        if docs:
+            d, k = np.concatenate(docs), np.concatenate(keys)
+            by = np.lexsort((d, k))
+            d, k = d[by], k[by]
+            head = np.ones(len(k), bool)
+            head[1:] = k[1:] != k[:-1]
+            later = d != d[np.flatnonzero(head)][np.cumsum(head) - 1]
+            marked, blobs = _marks(d[later], k[later], parts)
+            out_part += marked
+            out_keys += blobs
+        return pa.table({"part": pa.array(out_part, pa.int64()), "keys": pa.array(out_keys, pa.binary())})
+
+    return run
 
 
 def _remove(window: int):
-    @F.arrow_udf("struct<n_words: long, n_removed: long, spans: array<struct<start: long, stop: long>>, kept_text: string>")
-    def run(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        out = []
+    span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
+
+    def run(documents: pa.Table, marks: pa.Table) -> pa.Table:
+        """The documents of a part without the words of their marked windows."""
+        docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for blob in marks.column("keys").to_pylist():
+            d, k = unpack_entries(blob)
+            docs.append(d)
+            keys.append(k)
+        docs, keys = np.concatenate(docs), np.concatenate(keys)
+        by = np.argsort(docs, kind="stable")
+        docs, keys = docs[by], keys[by]
+        ids = documents.column("doc_id").combine_chunks()
+        texts = documents.column("text").combine_chunks()
+        names = ids.to_pylist()
+        out = {"n_words": [], "n_removed": [], "spans": [], "kept_text": []}
         done = 0
         for part in chunks(texts):
             counts, codes, words = words_of(rows_of(texts, part))
@@ -157,11 +192,11 @@ def _remove(window: int):
             at = starts_of(counts)
             for i, n in enumerate(counts.tolist()):
                 own = codes[at[i] : at[i + 1]]
-                blobs = marks[done + i].as_py()
                 spans = []
-                if blobs and n >= window:
-                    known = np.frombuffer(b"".join(blobs), "<u8")
-                    first = np.flatnonzero(np.isin(window_hashes(hashes[own], window)[0], known))
+                name = names[done + i]
+                a, b = (0, 0) if name is None else (np.searchsorted(docs, name, "left"), np.searchsorted(docs, name, "right"))
+                if b > a and n >= window:
+                    first = np.flatnonzero(np.isin(window_hashes(hashes[own], window)[0], keys[a:b]))
                     edge = np.zeros(n + 1, np.int64)
                     np.add.at(edge, first, 1)
                     np.add.at(edge, first + window, -1)
@@ -169,18 +204,13 @@ def _remove(window: int):
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                     spans = [{"start": int(a), "stop": int(b)} for a, b in turn.reshape(-1, 2)]
                     own = own[~gone]
-                kept = b" ".join([spelled[c] for c in own.tolist()]).decode()
-                out.append({"n_words": n, "n_removed": n - len(own), "spans": spans, "kept_text": kept})
+                out["n_words"].append(n)
+                out["n_removed"].append(n - len(own))
+                out["spans"].append(spans)
+                out["kept_text"].append(b" ".join([spelled[c] for c in own.tolist()]).decode())
             done += len(counts)
-        return pa.array(
-            out,
-            pa.struct(
-                [
-                    ("n_words", pa.int64()), ("n_removed", pa.int64()),
-                    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept_text", pa.string()),
-                ]
-            ),
-        )
+        kinds = (pa.int64(), pa.int64(), pa.list_(span), pa.string())
+        return pa.table({"doc_id": ids} | {c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
     return run
 
@@ -194,15 +224,15 @@ def remove_repeats(
     as the input stands. spans are the maximal intervals of removed words; kept_text joins the other words by a space.
     A null text has no words. Rows of equal doc_id do not count as earlier than each other. A null doc_id is neither
     smaller nor larger than any: its row loses nothing and takes nothing. Other columns are not read.
-    ``bucket_chars`` of text share a bucket; ``batch_bytes`` of text are looked at together.
+    ``bucket_chars`` of text share a bucket, and a part of the corpus; ``batch_bytes`` of text are looked at together.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = rows.filter(F.col("doc_id").isNotNull())
     total = known.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    buckets = total // bucket_chars + 1
-    entries = known.mapInArrow(_scan(window, buckets, batch_bytes), ENTRY_SCHEMA)
-    marks = entries.groupBy("bucket").applyInArrow(_meet, "doc_id long, keys binary")
-    marks = marks.groupBy("doc_id").agg(F.collect_list("keys").alias("_marks"))
-    joined = rows.join(marks, "doc_id", "left")
-    result = joined.select("doc_id", _remove(window)(F.col("text"), F.col("_marks")).alias("_r"))
-    return result.select("doc_id", "_r.n_words", "_r.n_removed", "_r.spans", "_r.kept_text")
+    buckets = parts = total // bucket_chars + 1
+    entries = known.mapInArrow(_scan(window, buckets, parts, batch_bytes), ENTRY_SCHEMA)
+    marks = entries.groupBy("bucket").applyInArrow(_meet(parts), "part long, keys binary")
+    # A row without an id has no marks, and may be in any part.
+    own = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(parts)).cast("long")
+    dealt = rows.withColumn("part", own).groupBy("part")
+    return dealt.cogroup(marks.groupBy("part")).applyInArrow(_remove(window), RESULT)
