@@ -195,7 +195,10 @@ def build_index(rows: DataFrame, k: int, settings: Settings) -> DataFrame:
             }
         )
 
-    return written(nodes.groupBy("dim", "shard").applyInArrow(make, GRAPH_SCHEMA), "graphs")
+    # A shard is few bytes and much work, so run-time coalescing by size must not put many of them into one task.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.repartition(tasks, "dim", "shard").groupBy("dim", "shard")
+    return written(dealt.applyInArrow(make, GRAPH_SCHEMA), "graphs")
 
 
 def search(queries: DataFrame, graphs: DataFrame, k: int = 10, settings: Settings | None = None) -> DataFrame:
