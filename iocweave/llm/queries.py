@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from iocweave.llm import ann, bpe, cotrain, line_crf, line_dedup, packing, pii, simhash, token_files, windows
+from iocweave.llm import (
+    ann, bpe, cotrain, line_crf, line_dedup, packing, pii, resample, simhash, spelling, token_files, warc, windows,
+)
 from iocweave.llm.common import prepare, table
 from iocweave.session import work_dir
 
@@ -68,11 +70,29 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.counted_words(table(spark, sf_dir, "documents")))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, path = table(spark, sf_dir, "pages"), work_dir(prepare(spark), "archives")
+    # The table holds no time of capture: pages were fetched one a second, in the order of their numbers.
+    time = F.timestamp_seconds(F.lit(1704067200) + F.coalesce(F.col("page_id"), F.lit(0)))
+    boundary = warc.write_archives(pages, path, time)
+    index = warc.capture_index(warc.read_archives(spark, path, boundary).drop("payload"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "time")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_nearest, op2_token_files, op3_line_crf, op4_packing, op5_simhash, op6_pseudonyms, op7_speculative_bpe,
-        op8_cotraining, op9_windows, op10_line_dedup,
+        op8_cotraining, op9_windows, op10_line_dedup, op11_spelling, op12_resample, op13_warc,
     )
 }
 
