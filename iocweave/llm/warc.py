@@ -169,7 +169,7 @@ def read_archives(spark: SparkSession, path: str, boundary: str) -> DataFrame:
     bad = F.raise_error(F.concat(F.lit("record of another length than it states: page "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("_body", F.when(whole, F.substring(F.col("_body"), F.lit(1), F.col("_length"))).otherwise(bad))
     # The payload follows the HTTP header, whose characters are plain.
-    header = F.instr(F.decode(F.substring(F.col("_body"), F.lit(1), F.lit(512)), F.lit("ISO-8859-1")), EOL * 2) + 3
+    header = F.instr(F.decode(F.substring(F.col("_body"), F.lit(1), F.lit(512)), "ISO-8859-1"), EOL * 2) + 3
     response = F.col("record_type") == "response"
     rows = rows.withColumn("payload", F.when(response, F.substring(F.col("_body"), header + 1, F.col("_length") - header)))
     return rows.select(
