@@ -111,11 +111,11 @@ def notify_gates(matches: Column, results: Column, severity: Column, notify_on:
     return {"gate_enricher": enricher, "gate_notifier": notifier, "should_notify": enricher & notifier}
 
 
-def _match_index(
-    attributes: DataFrame, results: DataFrame | None, now: Column, match_mode: str, weights: Mapping[str, float], unmatched: bool
+def _scored_index(
+    index: DataFrame, results: DataFrame | None, now: Column, match_mode: str, weights: Mapping[str, float], unmatched: bool
 ) -> DataFrame:
     """Per value: the scored match and its reputation results. Built once, whatever the number of alerts."""
-    iocs = match.index_as_iocs(match.match_index(attributes), now, match_mode)
+    iocs = match.index_as_iocs(index, now, match_mode)
     names = ["source_feed", "ioc_type", "threat_level", "confidence", "last_seen", "tags"]
     score = threat_score(*[F.col(n) for n in names], now, weights)
     index = iocs.select("value", F.struct("*", score.alias("threat_score")).alias("hit"))
@@ -126,22 +126,24 @@ def _match_index(
 
 def enriched_alerts(
     alerts: DataFrame,
-    attributes: DataFrame,
+    attributes: DataFrame | None,
     now: Column,
     results: DataFrame | None = None,
     notify_on: list[str] = K.NOTIFY_ON,
     match_mode: str = "reference",
     weights: Mapping[str, float] = K.DEFAULT_WEIGHTS,
     enrich_unmatched: bool = False,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """The full enriched row of every alert.
 
-    ``alerts`` has the header and ``extracted_iocs``. Alerts are read once. Each is fanned out to its candidates,
+    ``alerts`` has the header and ``extracted_iocs``. The store is given by its ``attributes``, or by rows of a kept
+    ``index``, of which the values of these alerts are enough. Alerts are read once. Each is fanned out to its candidates,
     with the header on the first candidate only; after the join on the value, candidates that hit nothing go,
     and one aggregate puts the alert together. So there are two exchanges, on narrow rows, and no second scan.
     """
     header = ["alert_id", "source_siem", "alert_name", "severity", "triggered_at", "extracted_iocs"]
-    index = _match_index(attributes, results, now, match_mode, weights, enrich_unmatched)
+    index = _scored_index(match.match_index(attributes) if index is None else index, results, now, match_mode, weights, enrich_unmatched)
     fanned = alerts.select("alert_key", F.struct(*header).alias("h"), F.posexplode_outer("extracted_iocs").alias("pos", "value"))
     pairs = fanned.select(
         "alert_key",

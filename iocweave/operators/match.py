@@ -42,8 +42,9 @@ def lookup_bulk(values: DataFrame, attributes: DataFrame) -> DataFrame:
     return skew_join(attributes, values.select("value").distinct(), ["value"]).select("value", *[c for c in attributes.columns if c != "value"])
 
 
-def match_index(attributes: DataFrame) -> DataFrame:
-    """One row per value: its first attribute of a known type, and all tags of the value, sorted.
+def index_states(attributes: DataFrame) -> DataFrame:
+    """(value, place, first, tags) per value: its first attribute of a known type and where that stands (null if there is
+    none), and all tags of the value, sorted. Two states of a value merge into one.
 
     One aggregate on the value. Both parts combine before the exchange, so a value with very many attributes
     sends at most one row per task.
@@ -51,17 +52,22 @@ def match_index(attributes: DataFrame) -> DataFrame:
     known = F.col("type").isin(K.IOC_TYPES) & (F.col("value") != "")
     stored = [c for c in ("threat_level", "confidence", "first_seen", "last_seen", "attack_techniques") if c in attributes.columns]
     first = F.struct(*[c for c in ATTRIBUTE_COLUMNS if c not in ("tags", "seq", "value")], *stored)
+    place = F.when(known, F.struct("seq", "attribute_id"))
     return (
         attributes.select("*", F.explode_outer("tags").alias("tag"))
         .groupBy("value")
-        .agg(
-            F.min_by(first, F.when(known, F.struct("seq", "attribute_id"))).alias("first"),
-            F.array_sort(F.collect_set("tag")).alias("tags"),
-        )
-        .filter("first IS NOT NULL")
+        .agg(F.min(place).alias("place"), F.min_by(first, place).alias("first"), F.array_sort(F.collect_set("tag")).alias("tags"))
     )
 
 
+def match_index(attributes: DataFrame) -> DataFrame:
+    """One row per value with an attribute of a known type: the first of these, and all tags of the value, sorted.
+
+    Computed from the whole store; ``keptindex.KeptIndex`` keeps the same rows from run to run.
+    """
+    return index_states(attributes).filter("first IS NOT NULL").select("value", "first", "tags")
+
+
 def index_as_iocs(index: DataFrame, now: Column, match_mode: str = "reference") -> DataFrame:
     """Indicator rows of the match index.
 
@@ -96,10 +102,10 @@ def index_as_iocs(index: DataFrame, now: Column, match_mode: str = "reference")
 
 
 def match_candidates(
-    candidates: DataFrame, attributes: DataFrame, now: Column, match_mode: str = "reference"
+    candidates: DataFrame, attributes: DataFrame, now: Column, match_mode: str = "reference", index: DataFrame | None = None
 ) -> DataFrame:
-    """At most one match per (alert, value)."""
-    iocs = index_as_iocs(match_index(attributes), now, match_mode)
+    """At most one match per (alert, value). ``index`` (of a kept index) takes the place of the store."""
+    iocs = index_as_iocs(match_index(attributes) if index is None else index, now, match_mode)
     return skew_join(candidates, iocs, ["value"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from iocweave import constants as K
@@ -34,6 +34,19 @@ def feed_run_result(flagged: DataFrame) -> DataFrame:
     )
 
 
+#: Error texts that a result row keeps of a run, the least ones; ``errors`` counts all of them.
+ERROR_DETAILS = 50
+
+
+def _failures(errors: DataFrame) -> DataFrame:
+    """(feed_name, errors, error_details). The rank is a group limit, so no task gathers all failures of a feed."""
+    counted = errors.groupBy("feed_name").agg(F.count("*").alias("errors"))
+    order = Window.partitionBy("feed_name").orderBy("error")
+    least = errors.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= ERROR_DETAILS)
+    kept = least.groupBy("feed_name").agg(F.array_sort(F.collect_list("error")).alias("error_details"))
+    return counted.join(kept, "feed_name")
+
+
 def run_times(results: DataFrame, started_at: Column, finished_at: Column, errors: DataFrame | None = None) -> DataFrame:
     """Run results with their times and errors: rows of ``schemas.FEED_RUNS``. ``errors`` has (feed_name, error), a row
     for each failure of the run."""
@@ -41,9 +54,7 @@ def run_times(results: DataFrame, started_at: Column, finished_at: Column, error
     if errors is None:
         none = {"errors": F.lit(0).cast("bigint"), "error_details": F.array().cast("array<string>")}
         return timed.withColumns(none)
-    failed = errors.groupBy("feed_name").agg(
-        F.count("*").alias("errors"), F.array_sort(F.collect_list("error")).alias("error_details")
-    )
+    failed = _failures(errors)
     joined = timed.join(failed, "feed_name", "full")
     counts = ["total_fetched", "new_iocs", "duplicate_iocs", "stored", "errors"]
     filled = {c: F.coalesce(c, F.lit(0)) for c in counts} | {
@@ -53,6 +64,19 @@ def run_times(results: DataFrame, started_at: Column, finished_at: Column, error
     return joined.withColumns(filled)
 
 
+def run_results(counts: DataFrame, started: DataFrame, finished_at: Column, errors: DataFrame) -> DataFrame:
+    """Rows of ``schemas.FEED_RUNS``: one for each feed that ``started`` (feed_name, started_at), whether it gave rows,
+    nothing, or failed. ``errors`` has (feed_name, error), a row for each failure."""
+    failed = _failures(errors)
+    joined = started.join(counts, "feed_name", "left").join(failed, "feed_name", "left")
+    numbers = ["total_fetched", "new_iocs", "duplicate_iocs", "stored"]
+    return joined.select(
+        "feed_name", "started_at", finished_at.alias("finished_at"), *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in numbers],
+        F.coalesce("errors", F.lit(0)).cast("bigint").alias("errors"),
+        F.coalesce("error_details", F.array().cast("array<string>")).alias("error_details"),
+    )
+
+
 def feed_run_rates(runs: DataFrame) -> DataFrame:
     rate = round_exact(F.try_divide("stored", "new_iocs") * 100.0, 1)
     return runs.withColumns(

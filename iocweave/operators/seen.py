@@ -1,20 +1,16 @@
-"""The seen set: keys with a time to live.
-
-It is an append-only table of accepted keys, one directory per run, partitioned by the day of expiry. A probe
-reads only days that can still be live, a purge drops whole days, and a repeated run replaces its own directory.
-"""
+"""The seen set: keys with a time to live, as plain rows. ``seenlog`` keeps it on disk."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from iocweave.operators.dedup import KEY, keep_first
+from iocweave.operators.match import skew_join
+from iocweave.operators.seenlog import flag_known
 from iocweave.session import ensure_checkpoint_dir
 
 TTL_DAYS = 30
-# Above this many sightings a key is followed by joins instead of one array.
-ARRAY_LIMIT = 100_000
 
 
 def live(seen: DataFrame, now: Column) -> DataFrame:
@@ -31,9 +27,9 @@ def hits(batch: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
 
 
 def flag_seen(batch: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
-    """Add ``is_seen``. The batch is computed once; keys are unique on both sides, so no group is large."""
-    known = live(seen, now).select(*KEY).distinct().withColumn("_hit", F.lit(True))
-    return batch.join(known, KEY, "left").withColumn("is_seen", F.coalesce("_hit", F.lit(False))).drop("_hit")
+    """Add ``is_seen``. The batch is computed once; the seen set is tested for existence, so it is not aggregated, and a
+    ``seenlog.SeenLog`` is not exchanged either."""
+    return flag_known(batch, live(seen, now))
 
 
 def new_rows(batch: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
@@ -83,19 +79,6 @@ def seen_stats(seen: DataFrame, now: Column, ttl_days: int = TTL_DAYS) -> DataFr
     )
 
 
-def _accept_array(times: Column, ttl_days: int) -> Column:
-    """Fold over sorted times: a time is accepted once a TTL has passed since the last accepted one."""
-    ttl = F.expr(f"INTERVAL {int(ttl_days)} DAYS")
-    none = F.array().cast("array<timestamp_ntz>")
-    return F.aggregate(
-        times,
-        none,
-        lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1) + ttl), F.concat(acc, F.array(t))).otherwise(
-            acc
-        ),
-    )
-
-
 def after_last(sightings: DataFrame, last: DataFrame, ttl_days: int = TTL_DAYS) -> DataFrame:
     """Sightings (KEY, ts) that a last accepted time (KEY, last) does not hold back."""
     ttl = F.expr(f"INTERVAL {int(ttl_days)} DAYS")
@@ -103,41 +86,58 @@ def after_last(sightings: DataFrame, last: DataFrame, ttl_days: int = TTL_DAYS)
     return joined.filter(F.col("last").isNull() | (F.col("ts") >= F.col("last") + ttl)).drop("last")
 
 
-def ttl_accept_sequence(
-    sightings: DataFrame, ttl_days: int = TTL_DAYS, ts: str = "ts", array_limit: int = ARRAY_LIMIT
-) -> DataFrame:
+#: The time to live is cut into so many parts; the sightings of a key in one part are sorted together.
+PARTS = 64
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _micros(ts: Column) -> Column:
+    return F.timestamp_diff("MICROSECOND", _epoch(), ts)
+
+
+def successors(times: DataFrame, ttl: int, parts: int = PARTS) -> DataFrame:
+    """(KEY, t, next): for each time t of a key its first time at least ``ttl`` later; times without one are left out.
+
+    An as-of join by merged sorts. Times and probes (t + ttl) of a key are cut into parts of a ``parts``-th of ``ttl``;
+    each part is sorted from its end, and a running minimum gives every probe the time that follows it. A part begins
+    with the first time of the next part that has any. So the rows of a frequent key are spread over its parts, and what
+    is ordered per key is one row for each part.
+    """
+    width = max(1, ttl // parts)
+    part = lambda at: F.floor(at / F.lit(width)).alias("part")
+    none = F.lit(None).cast("bigint")
+    at = F.col("t") + F.lit(ttl)
+    marks = times.select(*KEY, part(F.col("t")), F.col("t").alias("at"), F.col("t").alias("time"), none.alias("t"))
+    probes = times.select(*KEY, part(at), at.alias("at"), none.alias("time"), "t")
+    both = marks.unionByName(probes)
+    ahead = Window.partitionBy(*KEY).orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = both.groupBy(*KEY, "part").agg(F.min("time").alias("least"))
+    first = cells.select(*KEY, "part", F.last("least", ignorenulls=True).over(ahead).alias("at")).filter("at IS NOT NULL")
+    both = both.unionByName(first.select(*KEY, "part", "at", F.col("at").alias("time"), none.alias("t")))
+    # From the end; of equal places times go before probes, as a time exactly one TTL later counts.
+    order = Window.partitionBy(*KEY, "part").orderBy(F.desc("at"), F.col("time").isNull())
+    found = F.min("time").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.select(*KEY, "t", found.alias("next")).filter("t IS NOT NULL AND next IS NOT NULL")
+
+
+def ttl_accept_sequence(sightings: DataFrame, ttl_days: int = TTL_DAYS, ts: str = "ts") -> DataFrame:
     """All sightings that count as new over a history: (value, ioc_type, ts).
 
-    A key is accepted at its first sighting and again at the first sighting at least one TTL after the last
-    accepted one. Keys with up to ``array_limit`` distinct times are folded in one array. The rest are advanced
-    together, one accepted time per round, each round a join and a partial ``min``; the number of rounds is the
-    length of the history in TTLs. So no task ever holds an unbounded group.
+    A key is accepted at its first sighting and again at the first sighting at least one TTL after the last accepted
+    one. Every sighting points to the first one a TTL later; what the first sighting reaches is found by doubling the
+    pointers, so the number of rounds is the logarithm of the longest chain. Rounds are cut by checkpoints. One path for
+    every key: nothing is gathered per key, and a frequent one is spread by time. Null times are left out.
     """
-    times = sightings.select(*KEY, F.col(ts).alias("ts")).distinct()
-    sizes = times.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-    heavy = sizes.filter(F.col("n") > array_limit)
-    ttl = F.expr(f"INTERVAL {int(ttl_days)} DAYS")
-    span = heavy.agg(F.max(F.timestamp_diff("SECOND", F.col("lo"), F.col("hi")))).first()[0]
-    light = times if span is None else times.join(heavy.select(*KEY), KEY, "left_anti")
-    light = (
-        light.groupBy(*KEY)
-        .agg(F.array_sort(F.collect_list("ts")).alias("times"))
-        .select(*KEY, F.explode(_accept_array(F.col("times"), ttl_days)).alias("ts"))
-    )
-    if span is None:
-        return light
     ensure_checkpoint_dir(sightings.sparkSession)
-    rounds = int(span) // (ttl_days * 86400) + 1
-    rest = times.join(heavy.select(*KEY), KEY, "left_semi").repartition(*KEY, F.col("ts")).checkpoint()
-    front = rest.groupBy(*KEY).agg(F.min("ts").alias("ts"))
-    accepted = front
-    for _ in range(rounds):
-        front = (
-            rest.join(front.withColumnRenamed("ts", "last"), KEY)
-            .filter(F.col("ts") >= F.col("last") + ttl)
-            .groupBy(*KEY)
-            .agg(F.min("ts").alias("ts"))
-            .checkpoint()
-        )
-        accepted = accepted.unionByName(front)
-    return light.unionByName(accepted)
+    times = sightings.filter(F.col(ts).isNotNull()).select(*KEY, _micros(F.col(ts).cast("timestamp_ntz")).alias("t")).distinct().checkpoint()
+    reached = times.groupBy(*KEY).agg(F.min("t").alias("t"))
+    jumps = successors(times, int(ttl_days) * 86_400_000_000).checkpoint()
+    while not jumps.isEmpty():
+        ahead = reached.join(jumps, [*KEY, "t"]).select(*KEY, F.col("next").alias("t"))
+        reached = reached.unionByName(ahead).checkpoint()
+        then = jumps.select(*KEY, F.col("t").alias("next"), F.col("next").alias("_then"))
+        jumps = skew_join(jumps, then, [*KEY, "next"]).select(*KEY, "t", F.col("_then").alias("next")).checkpoint()
+    return reached.select(*KEY, F.timestamp_add("MICROSECOND", F.col("t"), _epoch()).alias("ts"))

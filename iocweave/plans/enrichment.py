@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from iocweave.operators import enrich, outbox
+from iocweave.operators.keptindex import KeptIndex
 from iocweave.sources import alerts as A
 
 
@@ -16,7 +18,11 @@ def prepare(alerts: DataFrame, now: Column) -> DataFrame:
 def enrich_cycle(
     alerts: DataFrame, attributes: DataFrame, now: Column, results: DataFrame | None = None, **options
 ) -> dict[str, DataFrame]:
-    enriched = enrich.enriched_alerts(prepare(alerts, now), attributes, now, results, **options)
+    """All tables of a cycle against the attributes of the store, not computed yet."""
+    return outputs(enrich.enriched_alerts(prepare(alerts, now), attributes, now, results, **options), now)
+
+
+def outputs(enriched: DataFrame, now: Column) -> dict[str, DataFrame]:
     return {
         "enriched_alerts": enriched.withColumn("enriched_at", now),
         "tag_outbox": outbox.tag_writeback(enriched, now),
@@ -24,3 +30,14 @@ def enrich_cycle(
         "notify_outbox": outbox.notify_outbox(enriched, now),
         "summary": enrich.cycle_summary(enriched),
     }
+
+
+def enrich_staged(
+    alerts: DataFrame, index: KeptIndex, now: Column, stage: str, results: DataFrame | None = None, **options
+) -> DataFrame:
+    """Enriched alerts against a kept index. Header and candidates are written to ``stage`` first, so that alerts are
+    parsed once; their distinct values are looked up in the index, which stays where it lies."""
+    prepare(alerts, now).write.mode("overwrite").parquet(stage)
+    ready = alerts.sparkSession.read.parquet(stage)
+    hits = index.hits(ready.select(F.explode("extracted_iocs").alias("value")))
+    return enrich.enriched_alerts(ready, None, now, results, index=hits, **options).withColumn("enriched_at", now)

@@ -8,27 +8,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from iocweave import tables
+from iocweave.operators.keptindex import KeptIndex
 from iocweave.plans import enrichment
 
 
 def stream_alert_enrich(
     alerts: DataFrame,
-    snapshot: Callable[[], tuple[DataFrame, DataFrame | None]],
+    snapshot: Callable[[], tuple[DataFrame | KeptIndex, DataFrame | None]],
     out_path: str,
     checkpoint: str,
     now: Column | None = None,
     **options,
 ) -> StreamingQuery:
-    """Enrich each micro-batch against the store as it is then: ``snapshot`` gives (attributes, results).
+    """Enrich each micro-batch against the store as it is then: ``snapshot`` gives (store, results).
 
-    The output folder of a batch is written whole, so a repeated batch replaces it.
+    The store is a kept index, of which a batch reads the rows of its values and nothing is aggregated, or the attributes,
+    which are aggregated for every batch. The output folder of a batch is written whole, so a repeated batch replaces it.
     """
     clock = F.current_timestamp().cast("timestamp_ntz") if now is None else now
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        attributes, results = snapshot()
-        tables = enrichment.enrich_cycle(batch, attributes, clock, results, **options)
-        tables["enriched_alerts"].write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        known, results = snapshot()
+        if isinstance(known, KeptIndex):
+            # Candidates and header are used twice, so they are put down once; the alert's text is not.
+            stage = f"{out_path.rstrip('/')}_stage/batch_id={batch_id}"
+            enriched = enrichment.enrich_staged(batch, known, clock, stage, results, **options)
+        else:
+            enriched = enrichment.enrich_cycle(batch, known, clock, results, **options)["enriched_alerts"]
+        enriched.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        if isinstance(known, KeptIndex):
+            tables.remove(batch.sparkSession, stage)
 
     return (
         alerts.writeStream.foreachBatch(each)

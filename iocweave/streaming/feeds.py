@@ -2,62 +2,52 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from iocweave import schemas
+from iocweave import tables
 from iocweave.operators import dedup, seen
-
-
-def read_seen(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
-    """The seen log: every accepted key with its expiry. ``before_batch`` leaves out that batch and later ones, so a
-    repeated batch does not meet its own rows."""
-    schema = schemas.SEEN + ", expires_day date, batch_id bigint"
-    log = spark.read.schema(schema).parquet(path)
-    return log if before_batch is None else log.filter(F.col("batch_id") < before_batch)
-
-
-def write_seen(entries: DataFrame, path: str, batch_id: int) -> None:
-    """Write the entries of one batch into its own folder, by day of expiry; a repeated batch replaces it."""
-    entries.withColumn("expires_day", F.to_date("expires")).write.mode("overwrite").partitionBy("expires_day").parquet(
-        f"{path}/batch_id={batch_id}"
-    )
-
-
-def _live_partitions(log: DataFrame, now: Column) -> DataFrame:
-    # The day of expiry is a partition column, so days that are over are not read.
-    return log.filter(F.col("expires_day") >= F.to_date(now))
+from iocweave.operators.match import skew_join
+from iocweave.operators.seenlog import SeenLog
+from iocweave.session import ensure_checkpoint_dir
 
 
 def ingest_batch(
-    rows: DataFrame, seen_path: str, out_path: str, batch_id: int, now: Column, ttl_days: int = seen.TTL_DAYS
+    rows: DataFrame, log: SeenLog, out_path: str, batch_id: int, now: Column, ttl_days: int = seen.TTL_DAYS
 ) -> None:
     """One micro-batch: keep first, drop live keys, store the new rows, mark them as seen.
 
-    Both outputs are folders of the batch, written whole, so a batch that is repeated after a failure replaces what
-    it wrote. The rows go first: the mark must never exist without them.
+    A batch that is repeated after a failure replaces what it wrote: the folder of its rows, and its generation of the
+    log, which it does not look at itself. The rows go first: the mark must never exist without them.
     """
-    spark = rows.sparkSession
-    batch = dedup.dedup_keep_first(dedup.normalise_rows(rows)).persist()
-    try:
-        log = _live_partitions(read_seen(spark, seen_path, batch_id), now)
-        fresh = batch.join(seen.hits(batch, log, now), dedup.KEY, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-        accepted = spark.read.parquet(f"{out_path}/batch_id={batch_id}")
-        write_seen(seen.seen_entries(accepted, now, ttl_days), seen_path, batch_id)
-    finally:
-        batch.unpersist()
+    gen = f"b{batch_id}"
+    batch = dedup.dedup_keep_first(dedup.normalise_rows(rows))
+    flagged = log.flag(batch, now, without=gen)
+    flagged.filter("NOT is_seen").drop("is_seen").write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+    accepted = rows.sparkSession.read.schema(batch.schema).parquet(f"{out_path}/batch_id={batch_id}")
+    log.append(gen, seen.seen_entries(accepted, now, ttl_days))
 
 
 def stream_feed_ingest(
-    rows: DataFrame, seen_path: str, out_path: str, checkpoint: str, now: Column | None = None, ttl_days: int = seen.TTL_DAYS
+    rows: DataFrame, seen_path: str, out_path: str, checkpoint: str, now: Column | None = None, ttl_days: int = seen.TTL_DAYS,
+    buckets: int = tables.BUCKETS,
 ) -> StreamingQuery:
-    """Continuous ingest with exactly the time-to-live rule of the batch operators."""
+    """Continuous ingest with exactly the time-to-live rule of the batch operators.
+
+    The seen log at ``seen_path`` is compacted when days gather many generations, and its ended days are dropped, after a
+    batch is done; so a batch reads the live keys, however many batches there were before.
+    """
     clock = F.current_timestamp().cast("timestamp_ntz") if now is None else now
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, seen_path, out_path, batch_id, clock, ttl_days)
+        log = SeenLog(batch.sparkSession, seen_path, buckets)
+        ingest_batch(batch, log, out_path, batch_id, clock, ttl_days)
+        # Not the generation of this batch, which a repetition must be able to replace.
+        log.compact(spare=f"b{batch_id}")
+        log.drop_days(clock)
 
     return (
         rows.writeStream.foreachBatch(each)
@@ -67,36 +57,83 @@ def stream_feed_ingest(
     )
 
 
-def dedup_batch(sightings: DataFrame, out_path: str, batch_id: int, ttl_days: int = seen.TTL_DAYS) -> None:
+class _Watermark:
+    """The greatest event time of the batches before, less the delay; kept beside the state of a stream."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.manifest = tables.Manifest(spark, path)
+
+    def before(self, batch_id: int) -> dt.datetime | None:
+        marks = [dt.datetime.fromisoformat(t) for b, t in self.manifest.latest()[1].get("marks", []) if b < batch_id]
+        return max(marks, default=None)
+
+    def advance(self, batch_id: int, to: dt.datetime) -> None:
+        number, state = self.manifest.latest()
+        marks = [m for m in state.get("marks", []) if m[0] != batch_id]
+        # Of batches long over only the greatest mark matters.
+        old, recent = marks[:-8], marks[-8:]
+        best = [max(old, key=lambda m: m[1])] if old else []
+        self.manifest.commit({"marks": [*best, *recent, [batch_id, to.isoformat()]]}, number)
+        self.manifest.forget()
+
+
+def dedup_batch(
+    sightings: DataFrame, log: SeenLog, out_path: str, batch_id: int, ttl_days: int = seen.TTL_DAYS, delay_days: int | None = None
+) -> None:
     """Write the sightings of one micro-batch that count as new, given those of earlier batches.
 
-    A key is held back until one TTL after its last accepted time, so of the log only the keys of the batch matter.
-    The folder of the batch is written whole, and later batches are not read, so a repeated batch gives the same rows.
+    The state is the seen log: the accepted times, each until one TTL later. An entry that has ended by the least time
+    of the batch holds nothing back, so only days from there on are read, and of these only keys of the batch move. With
+    ``delay_days`` sightings older than the watermark (the greatest time of the batches before, less the delay) are
+    dropped, and so are days of the log that ended before it.
     """
-    spark = sightings.sparkSession
-    rows = sightings.select(*dedup.KEY, F.col("ts").cast("timestamp_ntz").alias("ts"))
-    log = spark.read.schema(ACCEPTED + ", batch_id bigint").parquet(out_path).filter(F.col("batch_id") < batch_id)
-    known = log.join(rows.select(*dedup.KEY).distinct(), dedup.KEY, "left_semi")
-    last = known.groupBy(*dedup.KEY).agg(F.max("ts").alias("last"))
-    accepted = seen.ttl_accept_sequence(seen.after_last(rows, last, ttl_days), ttl_days)
+    spark, gen = sightings.sparkSession, f"b{batch_id}"
+    ensure_checkpoint_dir(spark)
+    rows = sightings.select(*dedup.KEY, F.col("ts").cast("timestamp_ntz").alias("ts")).filter("ts IS NOT NULL")
+    mark = _Watermark(spark, f"{log.root}/_watermark")
+    wm = mark.before(batch_id) if delay_days is not None else None
+    if wm is not None:
+        rows = rows.filter(F.col("ts") >= F.lit(wm).cast("timestamp_ntz"))
+    rows = rows.distinct().checkpoint()
+    least, most = rows.agg(F.min("ts"), F.max("ts")).first()
+    if least is not None:
+        known = log.read(F.lit(least).cast("timestamp_ntz"), without=gen)
+        ends = known.join(rows.select(*dedup.KEY).distinct(), dedup.KEY, "left_semi").groupBy(*dedup.KEY).agg(F.max("expires").alias("_ends"))
+        free = skew_join(rows, ends, dedup.KEY, "left").filter("_ends IS NULL OR ts >= _ends").drop("_ends")
+        accepted = seen.ttl_accept_sequence(free, ttl_days)
+    else:
+        accepted = rows
     accepted.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+    if least is None:
+        return
+    accepted = spark.read.schema(ACCEPTED).parquet(f"{out_path}/batch_id={batch_id}")
+    expires = F.col("ts") + F.expr(f"INTERVAL {int(ttl_days)} DAYS")
+    log.append(gen, accepted.select(*dedup.KEY, F.col("ts").alias("first_seen"), expires.alias("expires")))
+    log.compact(spare=gen)
+    if delay_days is not None:
+        reached = max(filter(None, [wm, most - dt.timedelta(days=delay_days)]))
+        mark.advance(batch_id, reached)
+        if wm is not None:
+            log.drop_days(F.lit(wm).cast("timestamp_ntz"))
 
 
 ACCEPTED = "value string, ioc_type string, ts timestamp_ntz"
 
 
-def stream_dedup_ttl(sightings: DataFrame, out_path: str, checkpoint: str, ttl_days: int = seen.TTL_DAYS) -> StreamingQuery:
+def stream_dedup_ttl(
+    sightings: DataFrame, out_path: str, checkpoint: str, ttl_days: int = seen.TTL_DAYS, state_path: str | None = None,
+    delay_days: int | None = None, buckets: int = tables.BUCKETS,
+) -> StreamingQuery:
     """Event-time dedup of a stream of (value, ioc_type, ts): accepted sightings land in ``out_path``.
 
     The rule is that of ``seen.ttl_accept_sequence``. Within a batch the order of arrival does not matter; a sighting
-    that arrives in a later batch than an accepted one is new only from one TTL after it.
+    that arrives in a later batch than an accepted one is new only from one TTL after it. ``delay_days`` bounds the state
+    by a watermark; without it, rows may be late by any time and the state keeps every day.
     """
-    spark = sightings.sparkSession
-    # An empty first folder, so that the log can be read before anything was accepted.
-    spark.createDataFrame([], ACCEPTED).write.mode("overwrite").parquet(f"{out_path}/batch_id=-1")
+    state_path = state_path or f"{out_path.rstrip('/')}_state"
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        dedup_batch(batch, out_path, batch_id, ttl_days)
+        dedup_batch(batch, SeenLog(batch.sparkSession, state_path, buckets), out_path, batch_id, ttl_days, delay_days)
 
     return (
         sightings.writeStream.foreachBatch(each)

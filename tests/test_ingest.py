@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from iocweave import schemas
+from iocweave.operators.seenlog import SeenLog
 from iocweave.operators import dedup, metrics, outbox, seen, store
 from iocweave.plans import ingest
 from iocweave.session import work_dir
@@ -135,18 +136,23 @@ def test_seen_set(spark):
     assert seen.seen_remove(known, known.filter("value = 'a'")).count() == 3
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_ttl_accept_sequence_against_a_loop(spark, limit):
+@pytest.mark.parametrize("parts", [64, 3])
+def test_ttl_accept_sequence_against_a_loop(spark, parts, monkeypatch):
+    monkeypatch.setattr(seen.successors, "__defaults__", (parts,))
     rnd = Random(4)
     data = [(f"k{rnd.randrange(6)}", "x", T0 + timedelta(hours=rnd.randrange(24 * 200))) for _ in range(300)] + [
-        ("s", "x", T0), ("s", "x", T0 + timedelta(days=19)), ("s", "x", T0 + timedelta(days=35))]
+        ("s", "x", T0), ("s", "x", T0 + timedelta(days=19)), ("s", "x", T0 + timedelta(days=35)),
+        # Exactly one TTL later counts, a microsecond less does not; a null time and a repeated row change nothing.
+        ("e", "x", T0), ("e", "x", T0 + timedelta(days=30)), ("e", "x", T0 + timedelta(days=60, microseconds=-1)), ("e", "x", T0),
+        ("old", "x", T0 - timedelta(days=30000)), ("old", "x", T0)]
     expect, last = set(), {}
     for v, t, ts in sorted(data, key=lambda r: r[2]):
         if v not in last or ts >= last[v] + timedelta(days=30):
             last[v] = ts
             expect.add((v, t, ts))
-    df = spark.createDataFrame(data, "value string, ioc_type string, ts timestamp_ntz")
-    assert {tuple(r) for r in seen.ttl_accept_sequence(df, 30, array_limit=limit).collect()} == expect
+    df = spark.createDataFrame([*data, ("n", "x", None)], "value string, ioc_type string, ts timestamp_ntz")
+    rows_ = [tuple(r) for r in seen.ttl_accept_sequence(df, 30).collect()]
+    assert len(rows_) == len(set(rows_)) and set(rows_) == expect
 
 
 def test_relationships_stay_inside_one_record(spark, landed):
@@ -179,7 +185,8 @@ def test_stream_ingest_in_several_batches(spark, tmp_path):
     for i, values in enumerate([["8.8.8.8:1", "1.1.1.1:2"], ["8.8.8.8:9", "9.9.9.9:1"], ["1.1.1.1:1"]]):
         env = {"query_status": "ok", "data": [{"id": "1", "ioc": v, "ioc_type": "ip:port", "confidence_level": 50} for v in values]}
         (src / f"{i}.json").write_text(json.dumps(env) + "\n")
-    stream_feeds.write_seen(seen_rows(spark, [("9.9.9.9", "ip-dst", T0 + timedelta(days=3))]), f"{root}/seen", -1)
+    log = SeenLog(spark, f"{root}/seen", 2)
+    log.append("before", seen_rows(spark, [("9.9.9.9", "ip-dst", T0 + timedelta(days=3))]))
     for _ in range(2):
         rows_ = registry.stream_feed(spark, "threatfox", str(src), NOW, files_per_batch=1)
         q = stream_feeds.stream_feed_ingest(rows_, f"{root}/seen", f"{root}/out", f"{root}/cp", NOW)
@@ -187,11 +194,11 @@ def test_stream_ingest_in_several_batches(spark, tmp_path):
         assert q.exception() is None
     got = [r.value for r in spark.read.parquet(f"{root}/out").collect()]
     assert sorted(got) == ["1.1.1.1", "8.8.8.8"]
-    assert stream_feeds.read_seen(spark, f"{root}/seen").count() == 3
+    assert log.read().count() == 3
     # A batch that runs again replaces what it wrote.
     again = iocs(spark, [("otx", "8.8.8.8", "ip-dst")])
-    stream_feeds.ingest_batch(again, f"{root}/seen", f"{root}/out", 9, NOW)
+    stream_feeds.ingest_batch(again, log, f"{root}/out", 9, NOW)
     new = iocs(spark, [("otx", "7.7.7.7", "ip-dst")])
     for _ in range(2):
-        stream_feeds.ingest_batch(new, f"{root}/seen", f"{root}/out", 10, NOW)
+        stream_feeds.ingest_batch(new, log, f"{root}/out", 10, NOW)
     assert spark.read.parquet(f"{root}/out/batch_id=10").count() == 1

@@ -150,14 +150,13 @@ for _name, _siem in (("alerts_elastic_scan", "elastic"), ("alerts_sentinel_scan"
         S.ALERTS,
         f"""SELECT DISTINCT h.alert_key, p.value FROM header h LEFT JOIN (
   SELECT alert_key, value FROM (SELECT alert_key, unnest([{D.ip('user_id')}, lower({D.dom('user_id')}), {D.md5('user_id')}]) AS value FROM alerts
-    WHERE event_type = 'click') WHERE {S.valid('value')}) p ON p.alert_key = h.alert_key WHERE h.source_siem = 'sentinel'""",
+    ) WHERE {S.valid('value')}) p ON p.alert_key = h.alert_key WHERE h.source_siem = 'sentinel'""",
     ),
 )
 def alerts_sentinel_entities(spark, d):
     incidents = D.raw_alerts(spark, d).filter("source_siem = 'sentinel'").select("alert_key")
     entities = (
         D.table(spark, d, "events")
-        .filter("event_type = 'click'")
         .selectExpr(
             f"{D.pad('event_id')} AS alert_key",
             f"explode(array(concat('{{\"address\":\"', {D.ip('user_id')}, '\"}}'), concat('{{\"domainName\":\"', lower({D.dom('user_id')}), '\"}}'), "

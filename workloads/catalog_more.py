@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+
 from pyspark.sql import functions as F
 
 from iocweave.functions import base, norm
-from iocweave.operators import dedup, enrich, external, extract, match, metrics, score, seen, store
-from iocweave.plans import enrichment, ingest
+from iocweave.operators import dedup, enrich, external, extract, keptindex, match, metrics, score, seen, seenlog, store
+from iocweave.plans import enrichment, ingest, run
 from iocweave.session import work_dir
 from iocweave.sources import alerts as A
 from iocweave.sources import registry
@@ -89,9 +92,37 @@ def seen_remove(spark, d):
     return seen.seen_remove(D.seen_table(spark, d), keys)
 
 
+def kept_log(spark, d, gens=3):
+    """The seen keys as a log on disk, written by several runs."""
+    log = seenlog.SeenLog(spark, work_dir(spark, "seen-log"), 8)
+    rows = D.seen_table(spark, d)
+    for k in range(gens):
+        log.append(f"run-{k}", rows.filter(F.pmod(F.xxhash64("value"), F.lit(gens)) == k))
+    return log
+
+
 @query("seen_purge", S.with_(S.SEEN, f"SELECT count(*) FILTER (expires <= {NOW}) AS removed, count(*) FILTER (expires > {NOW}) AS kept FROM seen"))
 def seen_purge(spark, d):
-    return seen.purge_counts(D.seen_table(spark, d), D.now())
+    """``kept`` counts the rows left on disk."""
+    log = kept_log(spark, d)
+    removed, _ = log.purge(D.now())
+    return spark.read.parquet(f"{log.root}/data").agg(F.lit(removed).cast("bigint").alias("removed"), F.count("*").alias("kept"))
+
+
+@query("seen_log_probe", ORACLES["seen_anti_join"])
+def seen_log_probe(spark, d):
+    """The batch against the log on disk, after some keys were written again and the days compacted."""
+    log = kept_log(spark, d, 2)
+    log.append("again", D.seen_table(spark, d))
+    log.compact(many=1)
+    return log.flag(batch(spark, d), D.now()).select("value", "ioc_type", "is_seen")
+
+
+@query("seen_log_remove", ORACLES["seen_remove"])
+def seen_log_remove(spark, d):
+    log = kept_log(spark, d)
+    log.remove(D.table(spark, d, "supplier").selectExpr(f"{D.ip('s_suppkey')} AS value", "'ip-dst' AS ioc_type"))
+    return spark.read.parquet(f"{log.root}/data").select("value", "ioc_type", "first_seen", "expires")
 
 
 @query(
@@ -118,10 +149,11 @@ def ttl_accept_sequence(spark, d):
     return seen.ttl_accept_sequence(sightings(spark, d), 4)
 
 
-@query("ttl_accept_sequence_heavy", S.with_(ACCEPTED, "SELECT * FROM acc", recursive=True))
+@query("ttl_accept_sequence_heavy", S.with_(ACCEPTED.replace(D.ip("user_id"), D.ip("user_id % 2")), "SELECT * FROM acc", recursive=True))
 def ttl_accept_sequence_heavy(spark, d):
-    """The same, with every key of more than 50 sightings taken by joins."""
-    return seen.ttl_accept_sequence(sightings(spark, d), 4, array_limit=50)
+    """The same with two keys, each of which has half of all sightings."""
+    rows = D.table(spark, d, "events").selectExpr(f"{D.ip('user_id % 2')} AS value", "'ip-dst' AS ioc_type", "ts")
+    return seen.ttl_accept_sequence(rows, 4)
 
 
 @query(
@@ -412,12 +444,99 @@ def top_ioc_per_alert(spark, d):
 
 # --- run results and metrics ---------------------------------------------------------------------------------
 
+RUN_RESULT = f"""SELECT feed_name, {NOW} + to_seconds(CASE feed_name WHEN 'otx' THEN 60 ELSE 120 END) AS started_at, {NOW} + INTERVAL 300 SECOND AS finished_at,
+  count(*) AS total_fetched, count(*) FILTER (is_new) AS new_iocs, count(*) FILTER (NOT is_new) AS duplicate_iocs, count(*) FILTER (is_new) AS stored, 0::BIGINT AS errors, '' AS error_details
+FROM flagged GROUP BY feed_name"""
+
+
 @query(
     "feed_run_result",
-    S.with_(S.FLAGGED, "SELECT feed_name, count(*) AS total_fetched, count(*) FILTER (is_new) AS new_iocs, count(*) FILTER (NOT is_new) AS duplicate_iocs, count(*) FILTER (is_new) AS stored FROM flagged GROUP BY feed_name"),
+    S.with_(S.FLAGGED, f"SELECT * REPLACE ({NOW} AS started_at, {NOW} + INTERVAL 300 SECOND AS finished_at) FROM ({RUN_RESULT}) "
+            f"UNION ALL SELECT 'csv', {NOW}, {NOW} + INTERVAL 300 SECOND, 0, 0, 0, 0, 2, 'no header,not found'"),
 )
 def feed_run_result(spark, d):
-    return ingest.run_feeds(D.all_iocs(spark, d), D.seen_table(spark, d), D.now())["results"]
+    """Times and errors are given; a feed that failed has a row."""
+    failed = D.table(spark, d, "region").selectExpr("'csv' AS feed_name", "CASE r_regionkey WHEN 0 THEN 'not found' WHEN 1 THEN 'no header' END AS error").filter("error IS NOT NULL")
+    end = D.now() + F.expr("INTERVAL 300 SECONDS")
+    out = ingest.run_feeds(D.all_iocs(spark, d), D.seen_table(spark, d), D.now(), started_at=D.now(), finished_at=end, errors=failed)["results"]
+    return out.withColumn("error_details", csv("error_details"))
+
+
+def ticking():
+    """A clock that goes on by a minute each time it is read."""
+    at = [dt.datetime.fromisoformat(D.NOW_TEXT)]
+
+    def clock():
+        at[0] += dt.timedelta(minutes=1)
+        return at[0]
+
+    return clock
+
+
+def feed_sources(spark, d):
+    """The four feeds, and one whose files cannot be read."""
+
+    def broken():
+        return spark.read.schema("value string").csv("/nowhere/feed.csv")
+
+    return D.feed_rows(spark, d) | {"csv": broken}
+
+
+def kept_store(spark, d):
+    store_ = run.Store(spark, work_dir(spark, "store"), 8)
+    store_.seen.append("before", D.seen_table(spark, d))
+    return store_
+
+
+@query(
+    "run_results",
+    S.with_(S.FLAGGED, f"{RUN_RESULT} UNION ALL SELECT 'csv', {NOW} + INTERVAL 180 SECOND, {NOW} + INTERVAL 240 SECOND, 0, 0, 0, 0, 1, 'csv: failed'")
+    .replace("INTERVAL 300 SECOND", "INTERVAL 240 SECOND"),
+)
+def run_results(spark, d):
+    """Of a whole run, with the times of its clock and the error of the feed that failed."""
+    out = run.run(kept_store(spark, d), "r1", feed_sources(spark, d), D.now(), clock=ticking())
+    short = F.transform("error_details", lambda e: F.concat(F.substring_index(e, ":", 1), F.lit(": failed")))
+    return out.withColumn("error_details", csv(short))
+
+
+@query(
+    "run_twice",
+    S.with_(f"{S.FLAGGED},new AS (SELECT * FROM flagged WHERE is_new),e AS (SELECT source_feed, min((feed_rank, sub_rank, fetch_id, pos, emit_rank)) AS o, count(*) AS n FROM new GROUP BY source_feed)", f"""
+SELECT 'attributes' AS name, count(*) AS n, count(DISTINCT (value, ioc_type)) AS n_keys, sum(confidence)::BIGINT AS total FROM new
+UNION ALL SELECT 'events', count(*), count(DISTINCT source_feed), sum(n)::BIGINT FROM e
+UNION ALL SELECT 'event_tags', count(*), count(DISTINCT tag), sum(length(tag))::BIGINT FROM (SELECT DISTINCT source_feed, unnest(tags[1:10]) AS tag FROM new)
+UNION ALL SELECT 'results', count(*), 2, sum(new_iocs + duplicate_iocs + stored)::BIGINT FROM (
+  SELECT feed_name, count(*) FILTER (is_new) AS new_iocs, count(*) FILTER (NOT is_new) AS duplicate_iocs, count(*) FILTER (is_new) AS stored FROM flagged GROUP BY feed_name
+  UNION ALL SELECT feed_name, 0, count(*), 0 FROM flagged GROUP BY feed_name)
+UNION ALL SELECT 'seen', count(*), count(DISTINCT (value, ioc_type)), 0 FROM (SELECT value, ioc_type FROM new UNION ALL SELECT value, ioc_type FROM seen)"""),
+)
+def run_twice(spark, d):
+    """A run, the same run again, and a later run of the same feeds, which finds nothing new."""
+    store_, feeds = kept_store(spark, d), D.feed_rows(spark, d)
+    for run_id in ("r1", "r1", "r2"):
+        run.run(store_, run_id, feeds, D.now())
+    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias("total")
+    kept = {
+        "attributes": (F.struct("value", "type"), "confidence"), "events": (F.col("source_feed"), "attribute_count"),
+        "event_tags": (F.col("tag"), F.length("tag")), "results": (F.col("feed_name"), F.col("new_iocs") + F.col("duplicate_iocs") + F.col("stored")),
+    }
+    parts = [
+        store_.read(name).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"), number(total))
+        for name, (key, total) in kept.items()
+    ]
+    parts.append(store_.seen.read().agg(F.lit("seen").alias("name"), F.count("*").alias("n"), F.countDistinct("value", "ioc_type").alias("n_keys"), F.lit(0).cast("bigint").alias("total")))
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("kept_index", S.with_(S.STORE, f"SELECT value, ioc_type, source_feed, {S.joined('tags')} AS tags, description, event_id, attribute_id FROM hits"))
+def kept_index(spark, d):
+    """The index after four updates, one of them repeated, that each bring a part of the store."""
+    index, rows = keptindex.KeptIndex(spark, work_dir(spark, "index"), 8), D.attributes(spark, d)
+    for k in (2, 0, 1, 1, 3):
+        index.update(rows.filter(F.pmod(F.xxhash64("attribute_id"), F.lit(4)) == k), f"run-{k}")
+    iocs = match.index_as_iocs(index.read(), D.now())
+    return iocs.select("value", "ioc_type", "source_feed", csv("tags").alias("tags"), "description", "event_id", "attribute_id")
 
 
 @query("feed_run_rates", S.with_(RUNS, "SELECT feed_name, started_at, duration_seconds, success_rate FROM rated"))
@@ -508,11 +627,11 @@ WHERE value IS NOT NULL AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.value = f.v
 )
 def stream_feed_ingest(spark, d):
     root = work_dir(spark, "stream-feed")
-    stream_feeds.write_seen(D.seen_table(spark, d), f"{root}/seen", -1)
+    seenlog.SeenLog(spark, f"{root}/seen", 8).append("before", D.seen_table(spark, d))
     rows = event_stream(spark, d).select(
         F.expr(STREAM_IOCS).alias("value"), F.expr("CASE WHEN event_type = 'view' THEN 'domain' ELSE 'ip-dst' END").alias("ioc_type"), F.col("event_id").alias("ord")
     )
-    finish(stream_feeds.stream_feed_ingest(rows, f"{root}/seen", f"{root}/out", f"{root}/checkpoint", D.now()))
+    finish(stream_feeds.stream_feed_ingest(rows, f"{root}/seen", f"{root}/out", f"{root}/checkpoint", D.now(), buckets=8))
     return spark.read.parquet(f"{root}/out").select("value", "ioc_type")
 
 
@@ -521,7 +640,19 @@ def stream_dedup_ttl(spark, d):
     """The history is several times as long as the TTL."""
     root = work_dir(spark, "stream-dedup")
     rows = event_stream(spark, d).select(F.expr(D.ip("user_id")).alias("value"), F.lit("ip-dst").alias("ioc_type"), "ts")
-    finish(stream_feeds.stream_dedup_ttl(rows, f"{root}/out", f"{root}/checkpoint", 4))
+    finish(stream_feeds.stream_dedup_ttl(rows, f"{root}/out", f"{root}/checkpoint", 4, buckets=8))
+    return spark.read.schema(stream_feeds.ACCEPTED).parquet(f"{root}/out").select("value", "ioc_type", "ts")
+
+
+@query("stream_dedup_ttl_batches", S.with_(ACCEPTED.replace("INTERVAL 4 DAY", "INTERVAL 9 DAY"), "SELECT * FROM acc", recursive=True))
+def stream_dedup_ttl_batches(spark, d):
+    """Six files, a micro-batch each, in order of time; the state is dropped behind the watermark."""
+    root = work_dir(spark, "stream-batches")
+    rows = sightings(spark, d)
+    for k in range(6):
+        rows.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 5), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    landed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    finish(stream_feeds.stream_dedup_ttl(landed, f"{root}/out", f"{root}/checkpoint", 9, delay_days=1, buckets=8))
     return spark.read.schema(stream_feeds.ACCEPTED).parquet(f"{root}/out").select("value", "ioc_type", "ts")
 
 
@@ -529,7 +660,9 @@ def stream_dedup_ttl(spark, d):
 def stream_alert_enrich(spark, d):
     root = work_dir(spark, "stream-alerts")
     alerts = event_stream(spark, d).selectExpr(f"{D.pad('event_id')} AS alert_key", f"{D.ALERT_SIEM} AS source_siem", f"{D.alert_raw('spark')} AS raw")
-    snapshot = lambda: (D.attributes(spark, d), results(spark, d))
+    index = keptindex.KeptIndex(spark, f"{root}/index", 8)
+    index.update(D.attributes(spark, d), "store")
+    snapshot = lambda: (index, results(spark, d))
     finish(stream_alerts.stream_alert_enrich(alerts, snapshot, f"{root}/out", f"{root}/checkpoint", D.now()))
     return enriched_columns(spark.read.parquet(f"{root}/out"))
 

@@ -204,14 +204,19 @@ def all_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.union_feeds(list(feed_rows(spark, sf_dir).values()), spark)
 
 
+# Keys of customers and orders that feeds and alerts meet, or else keys beyond all that they hold.
+SEEN_KEY = "(CASE WHEN c_acctbal > 0 THEN c_custkey ELSE c_custkey + 700000000 END)"
+STORE_KEY = "(CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') THEN c_custkey ELSE c_custkey + 700000000 END)"
+ORDER_KEY = "(CASE WHEN o_orderstatus = 'F' THEN o_custkey ELSE o_custkey + 700000000 END)"
+
+
 def seen_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seen keys of customers with a positive balance, first seen up to 44 days ago."""
+    """Seen keys of customers, first seen up to 44 days ago; without a positive balance, of values that no feed has."""
     return (
         table(spark, sf_dir, "customer")
-        .filter("c_acctbal > 0")
         .selectExpr(
-            f"inline(array(named_struct('value', {ip('c_custkey')}, 'ioc_type', 'ip-dst'), "
-            f"named_struct('value', {sha256('c_custkey', 'spark')}, 'ioc_type', 'sha256')))",
+            f"inline(array(named_struct('value', {ip(SEEN_KEY)}, 'ioc_type', 'ip-dst'), "
+            f"named_struct('value', {sha256(SEEN_KEY, 'spark')}, 'ioc_type', 'sha256')))",
             "c_custkey",
         )
         .select(
@@ -273,25 +278,23 @@ def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- indicator store and reputation --------------------------------------------------------------------------
 
 STORE_FEED = "CASE c_nationkey % 4 WHEN 0 THEN 'otx' WHEN 1 THEN 'threatfox' WHEN 2 THEN 'abusech_url' ELSE 'abusech_malware' END"
-STORE_SEGMENTS = "c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE')"
 
 
 def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes of customers in three segments, and of finished orders (events without a feed title)."""
+    """Attributes of customers, and of orders (events without a feed title)."""
     entry = lambda t, v: f"named_struct('type', '{t}', 'value', {v})"
     entries = ", ".join(
         [
-            entry("comment", ip("c_custkey")),
-            entry("ip-dst", ip("c_custkey")),
-            entry("domain", f"lower({dom('c_custkey')})"),
-            entry("url", url("c_custkey")),
-            entry("sha256", sha256("c_custkey", "spark")),
-            entry("md5", md5("c_custkey")),
+            entry("comment", ip(STORE_KEY)),
+            entry("ip-dst", ip(STORE_KEY)),
+            entry("domain", f"lower({dom(STORE_KEY)})"),
+            entry("url", url(STORE_KEY)),
+            entry("sha256", sha256(STORE_KEY, "spark")),
+            entry("md5", md5(STORE_KEY)),
         ]
     )
     own = (
         table(spark, sf_dir, "customer")
-        .filter(STORE_SEGMENTS)
         .selectExpr("*", f"posexplode(array({entries})) AS (pos, e)")
         .selectExpr(
             "concat('c', c_custkey, '-', pos) AS attribute_id",
@@ -309,13 +312,12 @@ def attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = (
         table(spark, sf_dir, "orders")
-        .filter("o_orderstatus = 'F'")
         .selectExpr(
             "concat('o', o_orderkey) AS attribute_id",
             "'ev-manual' AS event_id",
             "'Manual import' AS event_info",
             "'url' AS type",
-            f"{url('o_custkey')} AS value",
+            f"{url(ORDER_KEY)} AS value",
             "CAST(NULL AS STRING) AS comment",
             "true AS to_ids",
             "array(concat('prio:', o_orderpriority), 'lazarus-group') AS tags",

@@ -190,8 +190,8 @@ SEEN = f"""
 seen AS (
   SELECT i.value AS value, i.kind AS ioc_type, {NOW} - to_days(CAST(c_custkey % 45 AS INTEGER)) AS first_seen,
     {NOW} - to_days(CAST(c_custkey % 45 AS INTEGER)) + INTERVAL 30 DAY AS expires
-  FROM (SELECT *, unnest([{{'value': {D.ip("c_custkey")}, 'kind': 'ip-dst'}},
-    {{'value': {D.sha256("c_custkey", "duck")}, 'kind': 'sha256'}}]) AS i FROM customer WHERE c_acctbal > 0)
+  FROM (SELECT *, unnest([{{'value': {D.ip(D.SEEN_KEY)}, 'kind': 'ip-dst'}},
+    {{'value': {D.sha256(D.SEEN_KEY, "duck")}, 'kind': 'sha256'}}]) AS i FROM customer)
 )"""
 
 FLAGGED = f"""{IOCS},{SEEN},
@@ -278,14 +278,14 @@ attrs AS (
       WHEN 'MACHINERY' THEN ['misp-galaxy:threat-actor="Lazarus Group"', 'captcha']
       ELSE ['Threat-Actor:Mixed', 'tlp:red'] END AS tags, c_custkey * 10 + e.pos AS seq
   FROM (SELECT *, unnest([
-      {{'kind': 'comment', 'value': {D.ip("c_custkey")}, 'pos': 0}}, {{'kind': 'ip-dst', 'value': {D.ip("c_custkey")}, 'pos': 1}},
-      {{'kind': 'domain', 'value': lower({D.dom("c_custkey")}), 'pos': 2}}, {{'kind': 'url', 'value': {D.url("c_custkey")}, 'pos': 3}},
-      {{'kind': 'sha256', 'value': {D.sha256("c_custkey", "duck")}, 'pos': 4}}, {{'kind': 'md5', 'value': {D.md5("c_custkey")}, 'pos': 5}}
-    ]) AS e FROM customer WHERE {D.STORE_SEGMENTS})
+      {{'kind': 'comment', 'value': {D.ip(D.STORE_KEY)}, 'pos': 0}}, {{'kind': 'ip-dst', 'value': {D.ip(D.STORE_KEY)}, 'pos': 1}},
+      {{'kind': 'domain', 'value': lower({D.dom(D.STORE_KEY)}), 'pos': 2}}, {{'kind': 'url', 'value': {D.url(D.STORE_KEY)}, 'pos': 3}},
+      {{'kind': 'sha256', 'value': {D.sha256(D.STORE_KEY, "duck")}, 'pos': 4}}, {{'kind': 'md5', 'value': {D.md5(D.STORE_KEY)}, 'pos': 5}}
+    ]) AS e FROM customer)
   UNION ALL
-  SELECT concat('o', o_orderkey), 'ev-manual', 'Manual import', 'url', {D.url("o_custkey")}, NULL,
+  SELECT concat('o', o_orderkey), 'ev-manual', 'Manual import', 'url', {D.url(D.ORDER_KEY)}, NULL,
     [concat('prio:', o_orderpriority), 'lazarus-group'], 1000000000000 + o_orderkey
-  FROM orders WHERE o_orderstatus = 'F'
+  FROM orders
 ),
 known AS (SELECT * FROM attrs WHERE type IN ('ip-dst', 'domain', 'url', 'md5', 'sha256', 'sha1', 'email-src', 'filename')
   QUALIFY row_number() OVER (PARTITION BY value ORDER BY seq, attribute_id) = 1),
