@@ -75,12 +75,14 @@ def captures(pages: DataFrame, time: Column, min_bytes: int = 0) -> DataFrame:
     )
     rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": payload_digest(F.col("payload"))})
     # Only payloads that occur again are joined back, so single ones are never a key; a hot one is split at run time.
+    # They are a table of their own, whose size is known before the join is planned: a small one is broadcast, and then
+    # no payload moves.
     again = (
         rows.filter(F.col("payload_bytes") >= min_bytes)
         .groupBy("payload_digest").agg(F.count("*").alias("_n"), F.max("page_id").alias("_last"))
         .filter("_n > 1 AND _last IS NOT NULL").select("payload_digest", "_last")
     )
-    rows = skew_join(rows, again, ["payload_digest"], "left")
+    rows = skew_join(rows, written(again, "repeated"), ["payload_digest"], "left")
     revisit = F.col("_last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_last"))
     return rows.withColumn("refers_to", F.when(revisit, F.col("_last"))).drop("_last")
 
