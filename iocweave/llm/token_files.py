@@ -8,8 +8,8 @@ file systems and committers. A block's payload is self-contained, little-endian:
 
 A word has a 4-bit selector on top and 60 payload bits, first id lowest. Selectors 2 to 15 pack 60, 30, 20, 15, 12,
 10, 8, 7, 6, 5, 4, 3, 2 or 1 ids of 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30 or 60 bits; selectors 0 and 1 stand for
-240 and 120 zeros. Selector 15 is also the escape for an id that no packing holds; an id over 60 bits is refused.
-The last word may have unused places, which hold zeros; the number of ids tells.
+240 and 120 zeros. An id of more than 60 bits is escaped: a word of selector 0 with payload 1, then the id as a word of
+its own. The last word may have unused places, which hold zeros; the number of ids tells.
 """
 
 from __future__ import annotations
@@ -37,31 +37,49 @@ MAGIC = b"S8B1"
 BLOCK_SCHEMA = "part int, block int, first_doc long, n_docs int, n_ids long, doc_ids array<long>, payload binary"
 
 
-def pack(ids: np.ndarray) -> np.ndarray:
-    """Simple-8b words of the ids: each word takes as many of the next ids as any selector can."""
-    ids = np.asarray(ids, np.uint64)
-    n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64)
-    if int(ids.max()) >> 60:
-        raise ValueError("an id needs more than 60 bits")
-    # Bit lengths: the exponent of a double is exact below 2**53.
-    high = (ids >> np.uint64(30)).astype(np.float64)
-    low = (ids & np.uint64((1 << 30) - 1)).astype(np.float64)
-    width = np.where(high > 0, np.frexp(high)[1] + 30, np.frexp(low)[1]).astype(np.int8)
-    # For each position the best selector: grow a window and keep those whose widest id still fits.
-    best = np.full(n, 15, np.int8)
+ESCAPE = np.uint64(1)
+_WIDTH = np.array([int(i).bit_length() for i in range(1 << 12)], np.int8)
+
+
+def _widths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, twelve at a time from the lowest."""
+    width, rest, done = _WIDTH[ids & np.uint64(4095)], ids >> np.uint64(12), 12
+    while rest.any():
+        more = _WIDTH[rest & np.uint64(4095)]
+        width = np.where(more > 0, more + np.int8(done), width)
+        rest, done = rest >> np.uint64(12), done + 12
+    return width
+
+
+def _choose(width: np.ndarray) -> np.ndarray:
+    """For each position the selector that takes most of the ids from there on; 15 where only one fits."""
+    n, top = len(width), int(width.max())
+    # Selectors as wide as the widest id fit everywhere; of these the first takes most.
+    start = min(int(np.searchsorted(BITS, top)), 15)
+    best = np.full(n, start, np.int8)
+    # Grow a window and keep the selectors for which its widest id still fits.
     widest, k = width.copy(), 1
-    for s in range(14, -1, -1):
+    for s in range(start - 1, -1, -1):
         want = int(COUNTS[s])
         while k < want:  # window maxima, doubling where possible
             step = min(k, want - k)
-            widest[:-step] = np.maximum(widest[:-step], widest[step:]) if step < n else widest[:-step]
+            if step < n:
+                np.maximum(widest[:-step], widest[step:], out=widest[:-step])
             k += step
-        fits = widest <= BITS[s]
-        best[fits] = s
-        if not fits.any():
+        fits = np.flatnonzero(widest <= BITS[s])
+        if not len(fits):
             break
+        best[fits] = s
+    return best
+
+
+def pack(ids: np.ndarray) -> np.ndarray:
+    """Simple-8b words of the ids: each word takes as many of the next ids as any selector can."""
+    ids = np.asarray(ids, np.uint64)
+    n = len(ids)
+    if not n:
+        return np.zeros(0, np.uint64)
+    best = _choose(_widths(ids))
     jump = (np.arange(n) + COUNTS[best]).tolist()
     heads, at = [], 0
     while at < n:
@@ -75,29 +93,54 @@ def pack(ids: np.ndarray) -> np.ndarray:
         if s < 2:
             continue
         rows = np.flatnonzero(chosen == s)
-        got = padded[heads[rows][:, None] + np.arange(COUNTS[s])]
-        words[rows] |= (got << (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)).sum(axis=1, dtype=np.uint64)
+        first, packed = heads[rows], np.zeros(len(rows), np.uint64)
+        for place in range(COUNTS[s]):
+            packed |= padded[first + place] << np.uint64(place * BITS[s])
+        words[rows] |= packed
+    large = np.flatnonzero((chosen == 15) & (ids[heads] >> np.uint64(60) > 0))
+    if len(large):
+        words[large] = ESCAPE
+        words = np.insert(words, large + 1, ids[heads[large]])
     return words
 
 
+def _raw_words(words: np.ndarray) -> np.ndarray:
+    """Where words stand that follow an escape. Such a word may look like an escape itself."""
+    out, last = [], -2
+    for at in np.flatnonzero(words == ESCAPE).tolist():
+        if at != last + 1:
+            out.append(at + 1)
+            last = at
+    return np.array(out, np.int64)
+
+
+def _counts(words: np.ndarray) -> np.ndarray:
+    """Ids that each word holds."""
+    counts, raw = COUNTS[(words >> np.uint64(60)).astype(np.int64)], _raw_words(words)
+    counts[raw - 1], counts[raw] = 0, 1
+    return counts
+
+
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` ids of Simple-8b words."""
-    selector = (words >> np.uint64(60)).astype(np.int64)
-    at = starts_of(COUNTS[selector])
+    selector, raw = (words >> np.uint64(60)).astype(np.int64), _raw_words(words)
+    selector[raw] = 0
+    at = starts_of(_counts(words))
     out = np.zeros(max(int(at[-1]), n), np.uint64)
     for s in np.unique(selector):
         if s < 2:
             continue
         rows = np.flatnonzero(selector == s)
-        shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-        got = (words[rows][:, None] >> shifts) & np.uint64((1 << int(BITS[s])) - 1)
-        out[at[rows][:, None] + np.arange(COUNTS[s])] = got
+        first, taken, mask = at[rows], words[rows], np.uint64((1 << int(BITS[s])) - 1)
+        for place in range(COUNTS[s]):
+            out[first + place] = (taken >> np.uint64(place * BITS[s])) & mask
+    out[at[raw]] = words[raw]
     return out[:n]
 
 
 def write_block(lengths: np.ndarray, ids: np.ndarray) -> bytes:
     words = pack(ids)
-    before = starts_of(COUNTS[(words >> np.uint64(60)).astype(np.int64)])[:-1][::STRIDE]
+    before = starts_of(_counts(words))[:-1][::STRIDE]
     return b"".join(
         [
             MAGIC,
@@ -126,35 +169,54 @@ def read_block(payload: bytes, start: int = 0, stop: int | None = None) -> tuple
     first = int(np.searchsorted(before, start, "right")) - 1
     last = int(np.searchsorted(before, stop, "left"))
     base = int(before[first])
-    return lengths, unpack(words[first * STRIDE : last * STRIDE], stop - base)[start - base :]
+    # A stride may begin with the word of an escape, which then stands before it.
+    raw = set(_raw_words(words).tolist()) if ESCAPE in words else ()
+    low, high = (k - (k in raw) for k in (first * STRIDE, min(last * STRIDE, n_words)))
+    return lengths, unpack(words[low:high], stop - base)[start - base :]
+
+
+def with_end(ids: np.ndarray, starts: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of documents, end to end, with ``end_id`` after each; and where those of each start (and end)."""
+    if end_id is None:
+        return ids, starts
+    moved = starts + np.arange(len(starts))
+    out = np.empty(moved[-1], np.uint32)
+    last = moved[1:] - 1
+    out[last] = end_id
+    inside = np.ones(len(out), bool)
+    inside[last] = False
+    out[inside] = ids
+    return out, moved
 
 
 def _blocks(path: str, end_id: int | None, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block = TaskContext.get().partitionId(), 0
-        names, kept, held = [], [], 0
-        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        names, lengths, kept, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(kept), "<u4").astype(np.uint64)
-            payload = write_block([len(k) // 4 for k in kept], ids)
+            ids = np.concatenate(kept).astype(np.uint64)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([names[0]], pa.int64()),
                     pa.array([len(names)], pa.int32()), pa.array([len(ids)], pa.int64()),
-                    pa.array([names], pa.list_(pa.int64())), pa.array([payload], pa.binary()),
+                    pa.array([names], pa.list_(pa.int64())), pa.array([write_block(lengths, ids)], pa.binary()),
                 ],
                 ["part", "block", "first_doc", "n_docs", "n_ids", "doc_ids", "payload"],
             )
 
         for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(batch.column(1)), strict=True):
+            ids, starts = with_end(*encoder(path).encode_flat(batch.column(1)), end_id)
+            ends, first = starts.tolist(), 0
+            for i, name in enumerate(batch.column(0).to_pylist()):
                 names.append(name)
-                kept.append(ids + end)
-                held += len(kept[-1]) // 4
+                lengths.append(ends[i + 1] - ends[i])
+                held += lengths[-1]
                 if held >= block_ids:
+                    kept.append(ids[ends[first] : ends[i + 1]])
                     yield flush()
-                    names, kept, held, block = [], [], 0, block + 1
+                    names, lengths, kept, held, block, first = [], [], [], 0, block + 1, i + 1
+            kept.append(ids[ends[first] :])
         if names:
             yield flush()
 
@@ -180,7 +242,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, names, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             lengths, ids = read_block(payload)
-            ids = ids.astype(np.int32)
+            ids = ids.astype(np.int64)
             at = starts_of(lengths)
             values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays(
@@ -216,4 +278,4 @@ def read_files(spark, path: str, digests: bool = False) -> DataFrame:
     rows = blocks.join(starts, ["part", "block"]).select("start", "doc_ids", "payload")
     if digests:
         return rows.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return rows.mapInArrow(_documents, "doc_id long, start long, ids array<int>")
+    return rows.mapInArrow(_documents, "doc_id long, start long, ids array<long>")
