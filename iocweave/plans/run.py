@@ -25,8 +25,10 @@ from iocweave.operators.keptindex import KeptIndex
 from iocweave.operators.seenlog import SeenLog
 from iocweave.plans.ingest import flag_rows
 from iocweave.sources import registry
+from iocweave.sources.feeds import split_judged
 
-TABLES = ("attributes", "events", "event_tags", "results")
+TABLES = ("attributes", "events", "event_tags", "rejects", "results")
+REJECTS = "feed string, reason string, value string, ioc_type string, raw string"
 Feed = DataFrame | Callable[[], DataFrame | None] | None
 
 
@@ -94,16 +96,31 @@ class Store:
 
 def _stage_feed(feed: Feed, path: str) -> None:
     rows = feed() if callable(feed) else feed
-    if rows is not None:
+    if rows is None:
+        return
+    if "reason" in rows.columns:  # judged: the refused rows are kept, with their reasons
+        good, _, _ = split_judged(rows, f"{path}_judged")
+        dedup.dedup_per_feed(good).write.mode("overwrite").parquet(path)
+    else:
         dedup.dedup_per_feed(dedup.normalise_rows(rows)).write.mode("overwrite").parquet(path)
 
 
+def _rejects(spark: SparkSession, stage: str, feeds: Mapping[str, Feed]) -> DataFrame:
+    """Refused rows of the feeds that were judged, with their reasons."""
+    out = spark.createDataFrame([], REJECTS)
+    for name in feeds:
+        path = f"{stage}/{name}_judged/rejected=true"
+        if tables.exists(spark, path):
+            out = out.unionByName(spark.read.parquet(path).select(F.lit(name).alias("feed"), "reason", "value", "ioc_type", "raw"))
+    return out
+
+
 def run(
     store_: Store, run_id: str, feeds: Mapping[str, Feed], now: Column, ttl_days: int = seen.TTL_DAYS,
     clock: Callable[[], dt.datetime] = utc_now, after: Callable[[str], None] = lambda step: None,
 ) -> DataFrame:
     """Ingest landed ``feeds`` (registered name to rows, or to a function that reads them; None: nothing landed) as run
-    ``run_id``; its results, one row of ``schemas.FEED_RUNS`` per feed group, failed and empty ones included.
+    ``run_id``; of judged rows the refused ones become its table ``rejects``. Returns its results, one row of ``schemas.FEED_RUNS`` per feed group, failed and empty ones included.
 
     A committed run is not done again. ``now`` decides what is live and the day of the events; ``clock`` gives the
     times of the results; ``after`` is told each step that ended.
@@ -142,6 +159,7 @@ def run(
         "attributes": store.store_attributes(new, run_date),
         "events": store.store_events(new, run_date, known_events),
         "event_tags": store.store_event_tags(new, run_date),
+        "rejects": _rejects(spark, stage, feeds),
         "seen_entries": seen.seen_entries(new, now, ttl_days),
     }
     for table, rows in made.items():

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Of a JSON key that occurs twice the last value counts; otherwise the whole text would be refused.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -8,14 +8,15 @@ outer ones: an inner explode makes the optimizer add a filter on the array, whic
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from iocweave import constants as K
 from iocweave import schemas
 from iocweave.functions import feedmap as M
 from iocweave.functions.base import choose, drop_blank, empty_strings, nonempty, ordered_distinct, strip
-from iocweave.functions.norm import classify_host, url_hostname
+from iocweave.functions.norm import accepted, canonical, classify_host, url_hostname
 
 # Rank of each feed and of each sub-feed inside it: the arrival order that keep-first follows.
 FEED_RANK = {"otx": 0, "abusech": 1, "csv": 2}
@@ -33,11 +34,46 @@ def ord_struct(feed: str, subfeed: str | None, record: Column, element: Column,
     )
 
 
+# Why a row of a feed is refused.
+CORRUPT, EMPTY, STATUS, BLANK, UNMAPPED, REFUSED = (
+    "corrupt envelope", "empty envelope", "query status", "no value", "unmapped type", "refused value"
+)
+
+
 def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def flatten_otx(envelopes: DataFrame, now: Column) -> DataFrame:
+def _begin(envelopes: DataFrame, judged: bool) -> DataFrame:
+    """With ``judged`` every row carries a ``reason``, null while nothing is wrong, and no row is dropped."""
+    if not judged:
+        return envelopes
+    bad = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in envelopes.columns else F.lit(False)
+    return envelopes.withColumns({"reason": F.lit(None).cast("string"), "_bad": bad})
+
+
+def _keep(rows: DataFrame, test: Column, reason: str | Column, judged: bool) -> DataFrame:
+    """Rows that pass a test; with ``judged`` all rows, the first failed test as their reason."""
+    if not judged:
+        return rows.filter(test)
+    why = F.lit(reason) if isinstance(reason, str) else reason
+    return rows.withColumn("reason", F.coalesce("reason", F.when(~F.coalesce(test, F.lit(False)), why)))
+
+
+def _records(envelopes: DataFrame, array: str, record: str, judged: bool) -> DataFrame:
+    """One row per record of an envelope. One without records, which is one row too, is refused as a whole."""
+    extra = ["reason", "_bad"] if judged else []
+    rows = envelopes.select("fetch_id", *extra, F.posexplode_outer(array).alias("record_pos", record))
+    if not judged:
+        return rows
+    return _keep(rows, F.col(record).isNotNull(), F.when(F.col("_bad"), CORRUPT).otherwise(EMPTY), judged).drop("_bad")
+
+
+def _extra(judged: bool) -> list[str]:
+    return ["reason"] if judged else []
+
+
+def flatten_otx(envelopes: DataFrame, now: Column, judged: bool = False) -> DataFrame:
     """One row per indicator of a known type."""
     p = F.col("pulse")
     techniques = F.concat(
@@ -57,9 +93,10 @@ def flatten_otx(envelopes: DataFrame, now: Column) -> DataFrame:
     bad = (p["created"].isNotNull() & created.isNull()) | (
         F.coalesce(p["modified"], p["created"]).isNotNull() & modified.isNull()
     )
-    pulses = envelopes.select("fetch_id", F.posexplode_outer("results").alias("record_pos", "pulse")).select(
+    pulses = _records(_begin(envelopes, judged), "results", "pulse", judged).select(
         "fetch_id",
         "record_pos",
+        *_extra(judged),
         _text(p["id"]).alias("pulse_id"),
         _text(p["name"]).alias("pulse_name"),
         M.map_tlp_level(p["TLP"]).alias("threat_level"),
@@ -77,9 +114,12 @@ def flatten_otx(envelopes: DataFrame, now: Column) -> DataFrame:
     rows = pulses.select("*", F.posexplode_outer("indicators").alias("element_pos", "indicator")).withColumns(
         {"value": strip(i["indicator"]), "ioc_type": M.map_otx_type(i["type"])}
     )
-    return rows.filter(F.col("ioc_type").isNotNull() & (F.col("value") != "")).select(
+    rows = _keep(rows, i.isNotNull(), EMPTY, judged) if judged else rows
+    rows = _keep(_keep(rows, F.col("ioc_type").isNotNull(), UNMAPPED, judged), F.col("value") != "", BLANK, judged)
+    return rows.select(
         "value",
         "ioc_type",
+        *_extra(judged),
         F.lit("otx").alias("source_feed"),
         "threat_level",
         "tags",
@@ -104,17 +144,21 @@ def _emitted(value: Column, ioc_type: Column, level: Column, description: Column
     ]
 
 
-def _emit(records: DataFrame, subfeed: str, emitted: list[list[Column]]) -> DataFrame:
-    """Fan each record out to its emitted indicators, numbered in order, and drop the blank ones."""
+def _emit(records: DataFrame, subfeed: str, emitted: list[list[Column]], judged: bool = False) -> DataFrame:
+    """Fan each record out to its emitted indicators, numbered in order, and drop the blank ones. A refused record is
+    one row."""
     # The generator reads plain columns only: fields of a struct inside it are pruned wrongly by the optimizer.
     ranked = [F.struct(F.lit(i).alias("emit_rank"), *fields) for i, fields in enumerate(emitted)]
-    kept = ["fetch_id", "record_pos", "tags", "first_seen", "last_seen", "pulse_id", "raw"]
+    kept = ["fetch_id", "record_pos", "tags", "first_seen", "last_seen", "pulse_id", "raw", *_extra(judged)]
+    rows = records.select(*kept, F.inline_outer(F.array(*ranked)))
+    if judged:
+        rows = rows.filter("reason IS NULL OR emit_rank = 0")
+    rows = _keep(_keep(rows, F.col("ioc_type").isNotNull(), UNMAPPED, judged), F.col("value") != "", BLANK, judged)
     return (
-        records.select(*kept, F.inline_outer(F.array(*ranked)))
-        .filter("value <> '' AND ioc_type IS NOT NULL")
-        .select(
+        rows.select(
             "value",
             "ioc_type",
+            *_extra(judged),
             F.lit(subfeed).alias("source_feed"),
             "threat_level",
             "tags",
@@ -136,20 +180,27 @@ def _append_missing(tags: Column, extra: Column) -> Column:
     return F.when(add, F.concat(tags, F.array(extra))).otherwise(tags)
 
 
-def flatten_malware(envelopes: DataFrame, now: Column) -> DataFrame:
+def _answered(envelopes: DataFrame, judged: bool) -> DataFrame:
+    """Envelopes of a query that went well; a corrupt one has no status."""
+    rows = _begin(envelopes, judged)
+    ok = F.col("query_status") == "ok"
+    return _keep(rows, ok | F.col("_bad") if judged else ok, STATUS, judged)
+
+
+def flatten_malware(envelopes: DataFrame, now: Column, judged: bool = False) -> DataFrame:
     """Up to three rows per sample: sha256, md5 and file name."""
     s = F.col("s")
     raw_tags = F.coalesce(s["tags"], empty_strings())
     signature = F.coalesce(nonempty(s["signature"]), F.lit("Unknown"))
     file_type = F.coalesce(nonempty(s["file_type"]), F.lit("unknown"))
+    answered = _answered(envelopes, judged)
+    samples = _records(answered, "data", "s", judged).withColumn("sha", strip(_text(s["sha256_hash"])))
     records = (
-        envelopes.filter("query_status = 'ok'")
-        .select("fetch_id", F.posexplode_outer("data").alias("record_pos", "s"))
-        .withColumn("sha", strip(_text(s["sha256_hash"])))
-        .filter("sha <> ''")
+        _keep(samples, F.col("sha") != "", BLANK, judged)
         .select(
             "fetch_id",
             "record_pos",
+            *_extra(judged),
             "sha",
             strip(_text(s["md5_hash"])).alias("md5"),
             strip(_text(s["file_name"])).alias("file_name"),
@@ -172,21 +223,22 @@ def flatten_malware(envelopes: DataFrame, now: Column) -> DataFrame:
             _emitted(F.col("md5"), F.lit(K.MD5), F.lit("high"), d, F.lit(85)),
             _emitted(F.col("file_name"), F.lit(K.FILENAME), F.lit("medium"), d, F.lit(70)),
         ],
+        judged,
     )
 
 
-def flatten_urls(envelopes: DataFrame, now: Column) -> DataFrame:
+def flatten_urls(envelopes: DataFrame, now: Column, judged: bool = False) -> DataFrame:
     """A URL row and a host row per entry."""
     u = F.col("u")
     threat = _text(u["threat"])
     level = F.when(F.lower(threat).contains("malware"), "high").otherwise("medium")
+    entries = _records(_begin(envelopes, judged), "urls", "u", judged).withColumn("url", strip(_text(u["url"])))
     records = (
-        envelopes.select("fetch_id", F.posexplode_outer("urls").alias("record_pos", "u"))
-        .withColumn("url", strip(_text(u["url"])))
-        .filter("url <> ''")
+        _keep(entries, F.col("url") != "", BLANK, judged)
         .select(
             "fetch_id",
             "record_pos",
+            *_extra(judged),
             "url",
             F.coalesce(nonempty(strip(_text(u["host"]))), url_hostname(F.col("url"))).alias("host"),
             threat.alias("threat"),
@@ -207,10 +259,11 @@ def flatten_urls(envelopes: DataFrame, now: Column) -> DataFrame:
             _emitted(F.col("url"), F.lit(K.URL), F.col("level"), url_text, F.lit(80)),
             _emitted(F.col("host"), classify_host(F.col("host")), F.col("level"), host_text, F.lit(75)),
         ],
+        judged,
     )
 
 
-def flatten_threatfox(envelopes: DataFrame, now: Column) -> DataFrame:
+def flatten_threatfox(envelopes: DataFrame, now: Column, judged: bool = False) -> DataFrame:
     """At most one row per entry."""
     t = F.col("t")
     confidence = F.coalesce(t["confidence_level"], F.lit(50))
@@ -221,12 +274,11 @@ def flatten_threatfox(envelopes: DataFrame, now: Column) -> DataFrame:
     )
     value = strip(_text(t["ioc"]))
     records = (
-        envelopes.filter("query_status = 'ok'")
-        .select("fetch_id", F.posexplode_outer("data").alias("record_pos", "t"))
-        .filter(value != "")
+        _keep(_records(_answered(envelopes, judged), "data", "t", judged), value != "", BLANK, judged)
         .select(
             "fetch_id",
             "record_pos",
+            *_extra(judged),
             M.map_threatfox_value(t["ioc_type"], value).alias("value"),
             M.map_threatfox_type(t["ioc_type"]).alias("type"),
             confidence.alias("confidence"),
@@ -247,32 +299,32 @@ def flatten_threatfox(envelopes: DataFrame, now: Column) -> DataFrame:
         F.concat(F.lit("ThreatFox — "), "malware"),
         M.clamp_confidence(F.col("confidence")),
     )
-    return _emit(records, "threatfox", [emitted])
+    return _emit(records, "threatfox", [emitted], judged)
 
 
-def flatten_csv(rows: DataFrame, now: Column) -> DataFrame:
+def flatten_csv(rows: DataFrame, now: Column, judged: bool = False) -> DataFrame:
     """One row per CSV line of a known type; ``fetch_id`` orders the lines."""
+    rows = _begin(rows, judged)
     value, ioc_type = strip(_text(F.col("value"))), strip(F.lower(_text(F.col("type"))))
     tags = F.filter(F.transform(F.split(_text(F.col("tags")), ","), strip), lambda t: t != "")
     fields = ["value", "type", "threat_level", "description", "tags"]
-    return (
-        rows.select(
-            value.alias("value"),
-            choose(ioc_type, K.CSV_TYPES).alias("ioc_type"),
-            F.lit("csv").alias("source_feed"),
-            M.parse_level(_text(F.col("threat_level"))).alias("threat_level"),
-            tags.alias("tags"),
-            _text(F.col("description")).alias("description"),
-            now.alias("first_seen"),
-            now.alias("last_seen"),
-            F.lit(70).alias("confidence"),
-            F.concat(F.lit("csv:"), value).alias("pulse_id"),
-            empty_strings().alias("attack_techniques"),
-            F.to_json(F.struct(*fields)).alias("raw"),
-            ord_struct("csv", None, F.lit(0), F.lit(0), F.lit(0)).alias("ord"),
-        )
-        .filter("value <> '' AND ioc_type IS NOT NULL")
+    lines = rows.select(
+        value.alias("value"),
+        choose(ioc_type, K.CSV_TYPES).alias("ioc_type"),
+        *_extra(judged),
+        F.lit("csv").alias("source_feed"),
+        M.parse_level(_text(F.col("threat_level"))).alias("threat_level"),
+        tags.alias("tags"),
+        _text(F.col("description")).alias("description"),
+        now.alias("first_seen"),
+        now.alias("last_seen"),
+        F.lit(70).alias("confidence"),
+        F.concat(F.lit("csv:"), value).alias("pulse_id"),
+        empty_strings().alias("attack_techniques"),
+        F.to_json(F.struct(*fields)).alias("raw"),
+        ord_struct("csv", None, F.lit(0), F.lit(0), F.lit(0)).alias("ord"),
     )
+    return _keep(_keep(lines, F.col("ioc_type").isNotNull(), UNMAPPED, judged), F.col("value") != "", BLANK, judged)
 
 
 def union_feeds(feeds: list[DataFrame | None], spark: SparkSession) -> DataFrame:
@@ -284,6 +336,31 @@ def union_feeds(feeds: list[DataFrame | None], spark: SparkSession) -> DataFrame
     return out
 
 
+def judge_values(judged: DataFrame) -> DataFrame:
+    """Judged rows with canonical values; one that the normaliser refuses gets that as its reason."""
+    value, ioc_type = F.col("value"), F.col("ioc_type")
+    rows = _keep(judged, accepted(value, ioc_type), REFUSED, True)
+    return rows.withColumn("value", F.when(F.col("reason").isNull(), canonical(value, ioc_type)).otherwise(value))
+
+
+def split_judged(judged: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Write judged rows in one pass, the good ones and the refused ones apart: (good rows, rejects, counts by reason).
+
+    The counts are observed while the rows are written, so they need no pass of their own. They add up to ``rows``, all
+    rows that came; ``good`` counts those without a reason.
+    """
+    reasons = (CORRUPT, EMPTY, STATUS, BLANK, UNMAPPED, REFUSED)
+    seen = Observation()
+    counted = judged.observe(
+        seen, F.count("*").alias("rows"), F.count_if(F.col("reason").isNull()).alias("good"),
+        *[F.count_if(F.col("reason") == r).alias(r) for r in reasons],
+    )
+    counted.withColumn("rejected", F.col("reason").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(path)
+    schema = StructType([*judged.schema.fields, StructField("rejected", BooleanType())])
+    rows = judged.sparkSession.read.schema(schema).parquet(path)
+    return rows.filter("NOT rejected").drop("rejected", "reason"), rows.filter("rejected").drop("rejected"), seen.get
+
+
 def modified_since(df: DataFrame, column: str, now: Column, days: int) -> DataFrame:
     """Rows changed in the last ``days`` days; the bound is a literal, so it reaches the scan."""
     return df.filter(F.col(column) >= now - F.expr(f"INTERVAL {int(days)} DAYS"))

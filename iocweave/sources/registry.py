@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +15,15 @@ from iocweave.sources import feeds
 
 @dataclass(frozen=True)
 class Feed:
-    """A landed feed: how its files are read and how they become indicator rows."""
+    """A landed feed: how its files are read and how they become indicator rows. ``judge``, if there is one, gives all
+    rows with the ``reason`` why one is refused."""
 
     name: str
     group: str
     schema: str
     flatten: Callable[[DataFrame, Column], DataFrame]
     fmt: str = "json"
+    judge: Callable[[DataFrame, Column], DataFrame] | None = None
 
 
 FEEDS: dict[str, Feed] = {}
@@ -31,14 +34,14 @@ def register_feed(feed: Feed) -> None:
     feeds.FEED_RANK.setdefault(feed.group, len(feeds.FEED_RANK))
 
 
-for _feed in (
-    Feed("otx", "otx", schemas.OTX, feeds.flatten_otx),
-    Feed("abusech_malware", "abusech", schemas.MALWARE, feeds.flatten_malware),
-    Feed("abusech_url", "abusech", schemas.URLS, feeds.flatten_urls),
-    Feed("threatfox", "abusech", schemas.THREATFOX, feeds.flatten_threatfox),
-    Feed("csv", "csv", schemas.CSV, feeds.flatten_csv, "csv"),
+for _name, _group, _schema_of, _flatten, _fmt in (
+    ("otx", "otx", schemas.OTX, feeds.flatten_otx, "json"),
+    ("abusech_malware", "abusech", schemas.MALWARE, feeds.flatten_malware, "json"),
+    ("abusech_url", "abusech", schemas.URLS, feeds.flatten_urls, "json"),
+    ("threatfox", "abusech", schemas.THREATFOX, feeds.flatten_threatfox, "json"),
+    ("csv", "csv", schemas.CSV, feeds.flatten_csv, "csv"),
 ):
-    register_feed(_feed)
+    register_feed(Feed(_name, _group, _schema_of, _flatten, _fmt, partial(_flatten, judged=True)))
 
 
 def _options(feed: Feed, multi_line: bool = False) -> dict[str, str]:
@@ -75,15 +78,22 @@ def _with_stream_id(df: DataFrame) -> DataFrame:
     return df.withColumn("fetch_id", F.concat_ws("#", *_place(), digest))
 
 
-def read_feed(spark: SparkSession, name: str, path: str, now: Column, multi_line: bool = False) -> DataFrame | None:
-    """Batch read of one landed feed; None if nothing has landed. ``multi_line``: CSV fields may hold line breaks."""
+def read_feed(
+    spark: SparkSession, name: str, path: str, now: Column, multi_line: bool = False, judged: bool = False
+) -> DataFrame | None:
+    """Batch read of one landed feed; None if nothing has landed. ``multi_line``: CSV fields may hold line breaks.
+    ``judged``: all rows, with the ``reason`` of those that are refused, for ``feeds.split_judged``."""
     feed = FEEDS[name]
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.globStatus(hadoop_path):
         return None
     landed = spark.read.format(feed.fmt).options(**_options(feed, multi_line)).schema(_schema(feed)).load(path)
-    return feed.flatten(_with_fetch_id(landed), now)
+    if not judged:
+        return feed.flatten(_with_fetch_id(landed), now)
+    if feed.judge is None:
+        raise ValueError(f"feed {name} does not give reasons")
+    return feeds.judge_values(feed.judge(_with_fetch_id(landed), now))
 
 
 def read_feeds(spark: SparkSession, paths: dict[str, str], now: Column) -> DataFrame:

@@ -231,7 +231,7 @@ def test_run_counts_every_feed(spark):
     assert {n: v for n, v in contents(store_).items() if n != "results"} == {n: v for n, v in before.items() if n != "results"}
 
 
-STEPS = ["feeds", "flagged", "attributes", "events", "event_tags", "seen_entries", "results", "committed"]
+STEPS = ["feeds", "flagged", "attributes", "events", "event_tags", "rejects", "seen_entries", "results", "committed"]
 
 
 def test_a_run_that_fails_leaves_nothing_and_can_be_repeated(spark):

@@ -7,18 +7,18 @@ import functools
 
 from pyspark.sql import functions as F
 
-from iocweave.functions import base, norm
+from iocweave.functions import base, norm, sql
 from iocweave.operators import dedup, enrich, external, extract, keptindex, match, metrics, score, seen, seenlog, store
 from iocweave.plans import enrichment, ingest, run
 from iocweave.session import work_dir
 from iocweave.sources import alerts as A
-from iocweave.sources import registry
+from iocweave.sources import feeds, landing, registry
 from iocweave.streaming import alerts as stream_alerts
 from iocweave.streaming import feeds as stream_feeds
 from workloads import derive as D
 from workloads import sqlbase as S
 from workloads.catalog import (
-    ALL_TAGS, ORACLES, EXT, HEADER, NOW, RUN_COLUMNS, RUNS, candidates, csv, enriched, feed_runs, parsed, query, results,
+    ALL_TAGS, CSV_INPUT, ORACLES, EXT, HEADER, NOW, RUN_COLUMNS, RUNS, candidates, csv, enriched, feed_runs, parsed, query, results,
 )
 
 # --- dedup and the seen set ----------------------------------------------------------------------------------
@@ -733,3 +733,98 @@ def pipeline_end_to_end(spark, d):
         F.first("ioc_type").alias("ioc_type"), F.first("source_feed").alias("source_feed"), F.first("threat_level").alias("threat_level"),
         F.first("confidence").alias("confidence"), F.countDistinct("alert_key").alias("n_alerts"),
     )
+
+
+BROKEN = "CAST(substr(fetch_id, 1, 12) AS BIGINT) % 7 = 3"
+_KEPT = "NOT (CAST(substr(fetch_id, 1, 12) AS BIGINT) % 7 = 3)"
+
+
+@query(
+    "rejects_by_reason",
+    S.with_(S.IOCS, f"""SELECT source_feed, reason, count(*) AS n FROM (
+  SELECT source_feed, CASE WHEN {S.normalise('value', 'ioc_type')} IS NULL THEN 'refused value' ELSE 'good' END AS reason FROM iocs WHERE {_KEPT}
+  UNION ALL SELECT 'otx', unnest(CASE WHEN event_id % 7 = 3 THEN ['corrupt envelope'] ELSE ['unmapped type', 'no value'] END) FROM events
+  UNION ALL SELECT 'abusech_url', 'corrupt envelope' FROM pages WHERE page_id % 7 = 3
+  UNION ALL SELECT 'threatfox', CASE WHEN l_orderkey % 7 = 3 THEN 'corrupt envelope' ELSE 'unmapped type' END FROM lineitem WHERE l_orderkey % 7 = 3 OR l_linenumber = 6
+  UNION ALL SELECT 'abusech_malware', CASE WHEN o_orderkey % 7 = 3 THEN 'corrupt envelope' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'query status' ELSE 'no value' END
+    FROM orders WHERE o_orderkey % 7 = 3 OR o_orderpriority = '4-NOT SPECIFIED' OR o_orderstatus IN ('O', 'P')
+) GROUP BY ALL"""),
+)
+def rejects_by_reason(spark, d):
+    """Landed lines, every seventh of them broken: good rows and refused ones, written in one pass, counted again here."""
+    root = work_dir(spark, "judged")
+    made = {
+        "otx": D.otx_envelopes(spark, d), "abusech_malware": D.malware_envelopes(spark, d),
+        "abusech_url": D.url_envelopes(spark, d), "threatfox": D.threatfox_envelopes(spark, d),
+    }
+    parts = []
+    for name, envelopes in made.items():
+        line = F.to_json(F.struct(*[c for c in envelopes.columns if c != "fetch_id"]))
+        envelopes.select(F.when(F.expr(BROKEN), F.concat(F.lit("{broken "), line)).otherwise(line).alias("value")).write.text(f"{root}/{name}")
+        judged = registry.read_feed(spark, name, f"{root}/{name}", D.now(), judged=True)
+        good, rejects, counts = feeds.split_judged(judged, f"{root}/{name}_judged")
+        if counts["rows"] != counts["good"] + sum(n for k, n in counts.items() if k not in ("rows", "good")):
+            raise ValueError(f"counts of {name} do not add up: {counts}")
+        parts.append(good.select("source_feed", F.lit("good").alias("reason")).unionByName(rejects.select("source_feed", "reason")))
+    rows = functools.reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.groupBy("source_feed", "reason").agg(F.count("*").alias("n"))
+
+
+def landed_alerts(spark, d):
+    """The derived alerts, landed in two batches, one of them twice."""
+    path, rows = work_dir(spark, "landed-alerts"), D.raw_alerts(spark, d)
+    for name, part in (("a", 0), ("b", 1), ("a", 0)):
+        landing.land_alerts(rows.filter(F.pmod(F.xxhash64("alert_key"), F.lit(2)) == part), path, name, D.now())
+    return landing.read_landed(spark, path)
+
+
+def _landed_scan(siem):
+    @query(f"landed_{siem}_scan", ORACLES[f"alerts_{siem}_scan"])
+    def scan(spark, d):
+        since = D.now() - F.expr("INTERVAL 10 DAYS")
+        return landing.latest_landed(landed_alerts(spark, d), siem, since).select(*HEADER)
+
+    return scan
+
+
+_landed_scan("elastic")
+_landed_scan("sentinel")
+
+
+@query("landed_reverse_search", ORACLES["reverse_search"])
+def landed_reverse_search(spark, d):
+    asked = D.table(spark, d, "supplier").selectExpr(f"explode(array({D.ip('s_suppkey')}, lower({D.dom('s_suppkey')}))) AS value")
+    return landing.search_landed(landed_alerts(spark, d), asked).select("value", "alert_key", "rank")
+
+
+@query("landed_csv_ingest", ORACLES["feed_csv"].replace("p_name AS description", "p_name || ' \"' || p_brand || '\", line ' || p_size AS description"))
+def landed_csv_ingest(spark, d):
+    """CSV files with quoted and doubled marks, read in many splits by the registry."""
+    root = work_dir(spark, "landed-csv")
+    fields = CSV_INPUT | {"description": "concat(p_name, ' \"', p_brand, '\", line ', p_size)"}
+    rows = D.table(spark, d, "part").selectExpr(*[f"{e} AS {n}" for n, e in fields.items()])
+    rows.select("value", "type", "threat_level", "description", "tags").write.option("header", True).option("escape", '"').csv(root)
+    known = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(1 << 16))
+    try:
+        read = registry.read_feed(spark, "csv", root, D.now())
+        read.schema, read._jdf.queryExecution().executedPlan()  # the splits are fixed with the plan
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", known)
+    return read.select(
+        "value", "ioc_type", "threat_level", csv("tags").alias("tags"), "description", "first_seen", "confidence", "pulse_id"
+    )
+
+
+# --- SQL text ------------------------------------------------------------------------------------------------
+
+@query("sql_functions", S.with_(S.IOCS, f"SELECT value, ioc_type, source_feed, {SCORE_SQL} AS threat_score, {S.recency('last_seen')} AS recency FROM norm"))
+def sql_functions(spark, d):
+    """Normalising and scoring in SQL text alone."""
+    sql.register(spark)
+    D.all_iocs(spark, d).createOrReplaceTempView("landed_iocs")
+    return spark.sql(f"""
+        SELECT ioc_normalise(value, ioc_type) AS value, ioc_type, source_feed,
+            score_ioc(source_feed, ioc_type, threat_level, confidence, last_seen, tags, timestamp_ntz'{D.NOW_TEXT}') AS threat_score,
+            score_recency(last_seen, timestamp_ntz'{D.NOW_TEXT}') AS recency
+        FROM landed_iocs WHERE ioc_accepted(value, ioc_type)""")
