@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from iocweave.llm.common import written
 
-GRAPH_SCHEMA = "dim int, shard int, n int, vectors binary, links binary, start int, ids array<array<long>>"
+GRAPH_SCHEMA = "dim int, shard int, n int, vectors binary, links binary, start int, frame binary, ids array<array<long>>"
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,6 +147,27 @@ def build(vectors: np.ndarray, degree: int, beam: int, alpha: float, batch: int
     return links, start
 
 
+#: How far from the middle a vector may be in a graph, in median distances; those beyond are drawn in to it.
+FARTHEST = 1e4
+
+
+def frame(exact: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Where the vectors of a shard lie: their middle and two scales, such that walking the graph in single precision
+    tells them apart wherever they are and however large or small."""
+    size = float(np.abs(exact).max()) or 1.0
+    middle = np.median(exact / size, axis=0)
+    away = np.sqrt((((exact / size) - middle) ** 2).sum(axis=1))
+    spread = float(np.median(away)) or float(away.max()) or 1.0
+    return middle, size, spread
+
+
+def framed(vectors: np.ndarray, middle: np.ndarray, size: float, spread: float) -> np.ndarray:
+    """Vectors in the frame of a shard, in single precision. One very far out keeps its direction."""
+    moved = (vectors / size - middle) / spread
+    far = np.sqrt((moved * moved).sum(axis=1, keepdims=True))
+    return np.where(far > FARTHEST, moved * (FARTHEST / np.maximum(far, FARTHEST)), moved).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class Settings:
     """``shard_rows``: vectors of a shard, on average; ``query_rows``: queries that visit a shard together."""
@@ -185,12 +206,14 @@ def build_index(rows: DataFrame, k: int, settings: Settings) -> DataFrame:
         n = group.num_rows
         flat = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         exact = flat.reshape(n, -1).astype(np.float64)
-        links, start = build(exact.astype(np.float32), settings.degree, settings.beam, settings.alpha)
+        middle, size, spread = frame(exact)
+        links, start = build(framed(exact, middle, size, spread), settings.degree, settings.beam, settings.alpha)
         return pa.table(
             {
                 "dim": pa.array([exact.shape[1]], pa.int32()), "shard": group.column("shard").slice(0, 1).cast(pa.int32()),
                 "n": pa.array([n], pa.int32()), "vectors": pa.array([exact.astype("<f8").tobytes()], pa.binary()),
                 "links": pa.array([links.astype("<i4").tobytes()], pa.binary()), "start": pa.array([start], pa.int32()),
+                "frame": pa.array([np.array([size, spread, *middle], "<f8").tobytes()], pa.binary()),
                 "ids": pa.array([group.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
             }
         )
@@ -220,14 +243,15 @@ def search(queries: DataFrame, graphs: DataFrame, k: int = 10, settings: Setting
         if graph.num_rows and part.num_rows:
             g = graph.slice(0, 1).to_pylist()[0]
             exact = np.frombuffer(g["vectors"], "<f8").reshape(g["n"], g["dim"])
-            vectors = exact.astype(np.float32)
+            size, spread, *middle = np.frombuffer(g["frame"], "<f8").tolist()
+            vectors = framed(exact, np.array(middle), size, spread)
             links = np.frombuffer(g["links"], "<i4").reshape(g["n"], -1)
             names = part.column("query_id").to_pylist()
             asked_flat = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
             wanted = asked_flat.reshape(len(names), -1).astype(np.float64)
             for at in range(0, len(names), 256):
                 block = slice(at, at + 256)
-                met, _ = beam_search(vectors, links, g["start"], wanted[block].astype(np.float32), settings.search_beam)
+                met, _ = beam_search(vectors, links, g["start"], framed(wanted[block], np.array(middle), size, spread), settings.search_beam)
                 for name, query, nodes in zip(names[block], wanted[block], met, strict=True):
                     nodes = nodes[nodes >= 0]
                     far = np.sqrt(((exact[nodes] - query) ** 2).sum(axis=1))

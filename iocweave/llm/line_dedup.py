@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from iocweave.llm.common import same_columns, written
+from iocweave.functions.base import let
 from iocweave.operators.match import skew_join
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -88,17 +89,22 @@ def _more_than_one(rows: DataFrame, key: str, name: str) -> DataFrame:
 def removed_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """(doc_id, _text_hash, line_no) of every line of ``documents`` that an equal or near line precedes.
 
-    Lines of fewer than ``min_words`` words take no part. Order is that of (doc_id, line_no), a null doc_id first;
+    Lines without a word take no part. Lines of fewer than ``min_words`` words are removed after an equal one only; near
+    ones may differ by one word from there on. Order is that of (doc_id, line_no), a null doc_id first;
     lines are judged on the input, not on what is left. Rows that agree in doc_id and text hold the same positions, so
     they lose the same lines.
     """
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    exploded = base.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "_line"))
+    # The text is left behind before its lines become rows; what is computed beside a generator is computed for each row.
+    split = base.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.split("text", "\n").alias("_lines"))
+    exploded = split.select("doc_id", "_text_hash", F.posexplode("_lines").alias("line_no", "_line"))
     listed = exploded.select("doc_id", "_text_hash", "line_no", words(F.col("_line")).alias("_w")).withColumn("n", F.size("_w"))
     k1, k2, k3 = halves(F.col("_w"), F.col("n"))
+    long = F.col("n") >= min_words
     lines = written(
-        listed.filter(F.col("n") >= min_words).select(
-            "doc_id", "_text_hash", "line_no", F.xxhash64("_w").alias("h"), k1.alias("k1"), k2.alias("k2"), k3.alias("k3")
+        listed.filter(F.col("n") > 0).select(
+            "doc_id", "_text_hash", "line_no", F.xxhash64("_w").alias("h"),
+            *[F.when(long, k).alias(name) for name, k in (("k1", k1), ("k2", k2), ("k3", k3))],
         ),
         "lines",
     )
@@ -109,7 +115,8 @@ def removed_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     distinct = written(distinct, "distinct-lines")
 
     # Lines that share a half with another line, and their words.
-    keyed = written(distinct.select("pos", "h", F.explode(F.array("k1", "k2", "k3")).alias("key")), "halves")
+    keyed = distinct.filter("k1 IS NOT NULL").select("pos", "h", F.explode(F.array("k1", "k2", "k3")).alias("key"))
+    keyed = written(keyed, "halves")
     doc, line = _place(F.col("pos"))
     wanted = _more_than_one(keyed, "key", "shared-halves").groupBy("h").agg(F.min("pos").alias("pos"))
     wanted = written(
@@ -120,10 +127,14 @@ def removed_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     # Rows without an id are few or none; apart from them the join is on a plain column, which a Bloom filter can use.
     found = base.filter("doc_id IS NOT NULL").join(wanted, F.col("doc_id") == F.col("_d"))
     found = found.unionByName(base.filter("doc_id IS NULL").join(wanted.filter("_d IS NULL"), F.col("doc_id").eqNullSafe(F.col("_d"))))
-    found = found.select(F.split("text", "\n").alias("_lines"), F.explode("_wanted").alias("_want"))
-    near_lines = found.select(
-        F.col("_want.pos").alias("pos"), F.col("_want.h").alias("h"), words(F.get("_lines", F.col("_want.line_no"))).alias("w")
+    # The lines of a text are named once, so that each wanted one is taken from them, and rows carry no other line.
+    taken = let(
+        F.split("text", "\n"),
+        lambda lines: F.transform(
+            "_wanted", lambda want: F.struct(want["pos"].alias("pos"), want["h"].alias("h"), F.get(lines, want["line_no"]).alias("_line"))
+        ),
     )
+    near_lines = found.select(F.inline(taken)).select("pos", "h", words(F.col("_line")).alias("w"))
     # Texts of one doc_id may differ: only the line that was meant has its hash.
     near_lines = written(near_lines.filter(F.col("h") == F.xxhash64("w")).dropDuplicates(["h"]), "near-lines")
 
@@ -160,13 +171,19 @@ def dedup_lines(documents: DataFrame, min_words: int = 5) -> DataFrame:
     """``documents`` with every line removed that an equal or near line precedes (see ``removed_lines``).
 
     All columns stay, extra ones too; only text changes, and a null text stays null. No row is dropped: a text may
-    become empty. Blank lines and lines of fewer than ``min_words`` words stay.
+    become empty. Lines without a word stay. A text of many lines is put together in time proportional to them.
     """
     gone = removed_lines(documents, min_words)
-    gone = gone.groupBy("doc_id", "_text_hash").agg(F.collect_set("line_no").alias("__llm_gone"))
+    gone = gone.groupBy("doc_id", "_text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("__llm_gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__llm_id", "_text_hash": "__llm_hash"})
     marked = documents.withColumn("__llm_key", F.xxhash64(F.col("text").cast("string")))
     same = (F.col("__llm_key") == F.col("__llm_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_id"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__llm_gone", i)), "\n")
+    # A mark for each line up to the last one removed, put together from the gaps between those that go.
+    gone_before = lambda i: F.when(i > 0, F.get("__llm_gone", i - 1)).otherwise(F.lit(-1))
+    marks = F.flatten(
+        F.transform("__llm_gone", lambda line, i: F.concat(F.array_repeat(F.lit(False), line - gone_before(i) - 1), F.array(F.lit(True))))
+    )
+    lines = F.zip_with(F.split("text", "\n"), marks, lambda line, mark: F.when(~F.coalesce(mark, F.lit(False)), line))
+    kept = F.array_join(lines, "\n")
     text = F.when(F.col("__llm_gone").isNull(), F.col("text")).otherwise(kept)
     return marked.join(gone, same, "left").select(*same_columns(documents, text=text))

@@ -141,19 +141,28 @@ def _cut(tokenizer: str, end_id: int | None, size: int, with_ids: bool):
 
 
 def pack(
-    documents: DataFrame, tokenizer: str, size: int = 4096, end_id: int | None = 2, unit: int = 16, salts: int = 64,
+    documents: DataFrame, tokenizer: str, size: int = 4096, end_id: int | None = 2, unit: int = 16, salts: int | None = None,
     with_ids: bool = False,
 ) -> DataFrame:
     """Pieces of ``documents`` (doc_id, text) with their place: sequence_id and offset, gapless from 0 in each sequence.
 
     Columns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if ``with_ids``. A null text is
     empty and has the end id only; without an end id, an empty document has no piece. Rows of equal doc_id are
-    documents of their own. Other columns are not read. ``salts`` parts of each length class are ranked apart.
+    documents of their own. Other columns are not read. ``salts`` parts of each length class are ranked apart; there are
+    as many as keep a part of a class below a few million pieces. A piece that leaves less than a ``unit`` is a sequence of
+    its own, whatever ``size`` is; such pieces need no plan and no rank.
     """
+    if size < 1 or unit < 1:
+        raise ValueError("size and unit must be positive")
+    unit = min(unit, size)
     schema = PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pieces = written(rows.mapInArrow(_cut(tokenizer, end_id, size, with_ids), schema), "pieces")
     columns = pieces.columns
+    capacity = size // unit
+    full = pieces.filter(F.col("length") > (capacity - 1) * unit)
+    pieces = pieces.filter(F.col("length") <= (capacity - 1) * unit)
+    salts = salts or max(64, pieces.count() // 20_000_000)
     salt = F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(salts)).cast("int")
     pieces = pieces.withColumn("_class", F.ceil(F.col("length") / unit).cast("int")).withColumn("_salt", salt)
 
@@ -165,7 +174,6 @@ def pack(
     ranked = pieces.withColumn("_rank", F.row_number().over(within) - 1)
 
     histogram = {r["_class"]: r["n"] for r in counts.groupBy("_class").agg(F.sum("_n").alias("n")).collect()}
-    capacity = size // unit
     plan = cutting_stock(histogram, capacity)
     places, sequence, filled = [], 0, dict.fromkeys(histogram, 0)
     for pattern, times in plan:
@@ -191,7 +199,10 @@ def pack(
     )
     sofar = Window.partitionBy("sequence_id").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(sofar), F.lit(0)))
-    return placed.select(
+    # Sequences of full pieces follow those of the plan; their numbers are distinct, with gaps.
+    alone = full.withColumns({"sequence_id": F.lit(sequence) + F.monotonically_increasing_id(), "offset": F.lit(0)})
+    order = [
         *columns[:5], F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"),
         *columns[5:],
-    )
+    ]
+    return placed.select(*order).unionByName(alone.select(*order))

@@ -124,12 +124,12 @@ WITH l AS (
     FROM documents
 ),
 lw AS (SELECT *, {_WORDS.format('line')} AS w FROM l),
-p AS (SELECT w, min((doc_id, line_no)) AS pos FROM lw WHERE len(w) >= 5 GROUP BY w),
+p AS (SELECT w, min((doc_id, line_no)) AS pos FROM lw WHERE len(w) > 0 GROUP BY w),
 v AS (
-    SELECT pos, len(w) AS n, -1 AS gap, array_to_string(w, ' ') AS s FROM p
+    SELECT pos, len(w) AS n, -1 AS gap, array_to_string(w, ' ') AS s FROM p WHERE len(w) >= 5
     UNION ALL
     SELECT pos, len(w), i, array_to_string(w[:i - 1] || w[i + 1:], ' ')
-    FROM (SELECT pos, w, unnest(range(1, len(w) + 1)) AS i FROM p)
+    FROM (SELECT pos, w, unnest(range(1, len(w) + 1)) AS i FROM p WHERE len(w) >= 5)
 ),
 same AS (SELECT s, gap, min(pos) AS least FROM v WHERE gap > 0 GROUP BY s, gap HAVING count(*) > 1),
 whole AS (SELECT s, min(pos) FILTER (gap < 0) AS full_pos, min(pos) FILTER (gap > 0) AS cut_pos FROM v GROUP BY s),
