@@ -143,7 +143,8 @@ def dedup_brute(rows, min_words=5):
         kept = []
         for k, line in enumerate(t.split("\n")):
             w = WORDS.findall(line)
-            earlier = len(w) >= min_words and any((d, m) < (order(i), k) and len(v) >= min_words and near(w, v) for d, m, v in lines)
+            both = lambda v: w == v or (min(len(w), len(v)) >= min_words and near(w, v))  # noqa: E731, B023
+            earlier = bool(w) and any((d, m) < (order(i), k) and both(v) for d, m, v in lines)
             if not earlier:
                 kept.append(line)
         out.append((i, "\n".join(kept)))
