@@ -1,9 +1,11 @@
 """Plans and results of the steps that cost most on large inputs."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from iocweave.functions import base, norm
-from iocweave.operators import match
+from iocweave.operators import enrich, match
 from iocweave.sources import alerts as A
 
 NOW = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
@@ -64,3 +66,43 @@ def test_slim_store_gives_the_same_matches(spark):
     full = match.match_candidates(asked, store, NOW, match_mode="stored").select(*read).collect()
     assert match.match_candidates(asked, slim, NOW, match_mode="stored").select(*read).collect() == full
     assert full[0]["attack_techniques"] == ["T1"]
+
+
+def moved_columns(df):
+    """Names of the columns that each exchange by alert takes in, and whether an aggregate makes them."""
+    node = df._jdf.queryExecution().sparkPlan()
+    found, todo = [], [node]
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange" and "alert_key" in node.outputPartitioning().toString():
+            out = node.output()
+            found.append(({out.apply(i).name() for i in range(out.size())}, "Aggregate" in children[0].nodeName()))
+        todo += children
+    return found
+
+
+def test_enrichment_moves_what_is_read(spark):
+    store = spark.createDataFrame(
+        [("a1", "e", "f — 1", "url", "v.evil.org", "text", ["s", "threat-actor:APT28"], 1), ("a2", "e", "f — 1", "domain", "w.evil.org", None, [], 2)],
+        "attribute_id string, event_id string, event_info string, type string, value string, comment string, tags array<string>, seq bigint",
+    )
+    alerts = spark.createDataFrame(
+        [("k1", "1", "elastic", None, "high", None, ["v.evil.org", "none", "w.evil.org"]), ("k2", None, None, "n", "low", None, []),
+         ("k3", "3", "elastic", "n", None, None, None), (None, "4", "elastic", "n", "high", None, ["v.evil.org", None])],
+        "alert_key string, alert_id string, source_siem string, alert_name string, severity string, triggered_at timestamp_ntz, extracted_iocs array<string>",
+    )
+    enriched = enrich.enriched_alerts(alerts, store, NOW)
+    gates = enriched.select("alert_key", "should_notify")
+    [(columns, gathered)] = moved_columns(gates)
+    assert not columns & {"alert_id", "alert_name", "triggered_at", "extracted_iocs", "first_seen"} and "severity" in columns
+    assert not gathered
+    got = {r["alert_key"]: r for r in enriched.collect()}
+    assert [m["value"] for m in got["k1"]["matched_iocs"]] == ["w.evil.org", "v.evil.org"]
+    first = got["k1"]["matched_iocs"][1].asDict()
+    assert (first["description"], first["threat_level"], first["confidence"], first["attack_techniques"]) == ("text", "unknown", 75, [])
+    assert first["tags"] == ["s", "threat-actor:APT28"] and first["first_seen"] == first["last_seen"] == dt.datetime(2024, 1, 31)
+    assert got["k1"]["alert_name"] is None and got["k1"]["extracted_iocs"] == ["v.evil.org", "none", "w.evil.org"]
+    assert got["k2"]["extracted_iocs"] == [] and got["k3"]["extracted_iocs"] is None and got["k2"]["alert_id"] is None
+    assert got[None]["extracted_iocs"] == ["v.evil.org", None] and len(got[None]["matched_iocs"]) == 1 and got[None]["should_notify"]
+    assert {r["alert_key"]: r["should_notify"] for r in gates.collect()} == {"k1": True, "k2": False, "k3": False, None: True}
