@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from iocweave.plans import run
 from iocweave.session import bound_tasks, tune
 from iocweave.sources import registry
+from workloads import catalog
 from workloads.catalog_more import LANDED
 
 NOW = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
@@ -62,3 +63,20 @@ def test_tasks_are_bounded_and_files_packed(spark, tmp_path):
     rows = own.range(4000).withColumn("k", F.col("id") % 1000)
     plan = rows.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(k" in plan and ", 480)" in plan
+
+
+def test_store_events_computes_its_rows_once(spark, monkeypatch):
+    rows = [("threatfox", "high", 3), ("otx", "low", 2), ("otx", "high", 1), ("abusech_url", None, 4)]
+    new = spark.createDataFrame(rows, "source_feed string, threat_level string, ord int")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        for r in part:
+            read.add(1)
+            yield r
+
+    new = spark.createDataFrame(new.rdd.mapPartitions(counted), new.schema).withColumn("value", F.lit("v"))
+    monkeypatch.setattr(catalog, "run", lambda spark, d: {"new_iocs": new})
+    got = catalog.QUERIES["store_events"](spark, "").collect()
+    assert sorted((r["source_feed"], r["threat_level_id"], r["attribute_count"]) for r in got) == [("abusech_url", "4", 1), ("otx", "1", 2)]
+    assert read.value == len(rows)
