@@ -68,14 +68,14 @@ def test_slim_store_gives_the_same_matches(spark):
     assert full[0]["attack_techniques"] == ["T1"]
 
 
-def moved_columns(df):
-    """Names of the columns that each exchange by alert takes in, and whether an aggregate makes them."""
+def moved_columns(df, key="alert_key"):
+    """Names of the columns that each exchange by a key takes in, and whether an aggregate makes them."""
     node = df._jdf.queryExecution().sparkPlan()
     found, todo = [], [node]
     while todo:
         node = todo.pop()
         children = [node.children().apply(i) for i in range(node.children().size())]
-        if node.nodeName() == "Exchange" and "alert_key" in node.outputPartitioning().toString():
+        if node.nodeName() == "Exchange" and key in node.outputPartitioning().toString():
             out = node.output()
             found.append(({out.apply(i).name() for i in range(out.size())}, "Aggregate" in children[0].nodeName()))
         todo += children
@@ -93,6 +93,11 @@ def test_enrichment_moves_what_is_read(spark):
         "alert_key string, alert_id string, source_siem string, alert_name string, severity string, triggered_at timestamp_ntz, extracted_iocs array<string>",
     )
     enriched = enrich.enriched_alerts(alerts, store, NOW)
+    rows = lambda df: sorted(map(str, df.collect()))
+    staged = enrich.enriched_alerts(alerts, store, NOW, at_hand=True)
+    assert rows(staged) == rows(enriched) and rows(staged.drop("extracted_iocs")) == rows(enriched.drop("extracted_iocs"))
+    by_value = [columns for columns, _ in moved_columns(staged, "value#") if "alert_key" in columns]
+    assert all(columns <= {"alert_key", "value", "_digest"} for columns in by_value)
     gates = enriched.select("alert_key", "should_notify")
     [(columns, gathered)] = moved_columns(gates)
     assert not columns & {"alert_id", "alert_name", "triggered_at", "extracted_iocs", "first_seen"} and "severity" in columns

@@ -66,6 +66,7 @@ def test_tasks_are_bounded_and_files_packed(spark, tmp_path):
 
 
 def test_store_events_computes_its_rows_once(spark, monkeypatch):
+    spark = spark.newSession()
     rows = [("threatfox", "high", 3), ("otx", "low", 2), ("otx", "high", 1), ("abusech_url", None, 4)]
     new = spark.createDataFrame(rows, "source_feed string, threat_level string, ord int")
     read = spark.sparkContext.accumulator(0)
