@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from iocweave.functions import base, norm
 from iocweave.operators import enrich, match
+from iocweave.session import bound_tasks, tune
 from iocweave.sources import alerts as A
+from workloads import catalog
 
 NOW = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
 
@@ -111,3 +113,22 @@ def test_enrichment_moves_what_is_read(spark):
     assert got["k2"]["extracted_iocs"] == [] and got["k3"]["extracted_iocs"] is None and got["k2"]["alert_id"] is None
     assert got[None]["extracted_iocs"] == ["v.evil.org", None] and len(got[None]["matched_iocs"]) == 1 and got[None]["should_notify"]
     assert {r["alert_key"]: r["should_notify"] for r in gates.collect()} == {"k1": True, "k2": False, "k3": False, None: True}
+
+
+def test_whole_headers_are_staged(spark, monkeypatch):
+    spark = bound_tasks(tune(spark.newSession()))
+    raw = '{"id":"%s","name":"n","a":"v.evil.org","b":"other.example.org"}'
+    alerts = spark.createDataFrame([(f"k{i}", "syslog", raw % i) for i in range(5)] + [("k9", "syslog", "{}")], "alert_key string, source_siem string, raw string")
+    store = spark.createDataFrame(
+        [("a1", "e", "f — 1", "domain", "v.evil.org", "text", ["s"], 1)],
+        "attribute_id string, event_id string, event_info string, type string, value string, comment string, tags array<string>, seq bigint",
+    )
+    monkeypatch.setattr(catalog.D, "raw_alerts", lambda spark, d: alerts)
+    monkeypatch.setattr(catalog.D, "attributes", lambda spark, d: store)
+    monkeypatch.setattr(catalog, "results", lambda spark, d: None)
+    whole = catalog.enriched_whole(spark, "")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(whole) == rows(catalog.enriched(spark, "")) and whole.count() == 6
+    assert "parse_json" not in plan(whole).lower() and "parsejson" not in plan(whole).lower()
+    got = {r["alert_key"]: r for r in catalog.enriched_whole(spark, "").collect()}
+    assert got["k0"]["alert_id"] == "0" and got["k0"]["extracted_iocs"] == ["other.example.org", "v.evil.org"] and got["k9"]["matched_iocs"] == []
